@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Remembered fragments per worker; beyond it fragments are merged again.
-CACHE = 400_000
+CACHE = 250_000
 #: Characters of text that are worked on at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -147,6 +147,7 @@ class BPE:
         self._caches: tuple[dict, dict] = ({}, {})
         self._library = None
         self._texts: list[str] | None = None
+        self._spelled: list[bytes] | None = None
 
     # -- the tokenizers library, for texts with added tokens and for tests
 
@@ -420,8 +421,14 @@ class BPE:
         """The library's ``decode(ids, skip_special_tokens=False)``: byte-level
         vocabularies give their bytes back; a file without a decoder section
         gives the entries' own spelling, joined with spaces."""
+        return self.decode_bytes(ids).decode("utf-8")
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The decoded text in UTF-8."""
         if self.spaced:
             table = self.token_bytes
-            return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        table = self.token_texts()
-        return " ".join([table[i] for i in ids.tolist()])
+            return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").encode()
+        if self._spelled is None:
+            self._spelled = [t.encode() for t in self.token_texts()]
+        table = self._spelled
+        return b" ".join([table[i] for i in ids.tolist()])

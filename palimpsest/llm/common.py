@@ -58,7 +58,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     return df.mapInArrow(run, schema)
 
 
-def slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with at most so many bytes, one row at least."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
