@@ -23,8 +23,36 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import op1_media as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import op5_packing as op
+
+    return op(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codec import op6_bpe_round_trip as op
+
+    return op(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import op10_secrets as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_token_files": op2_token_files,
+    "op5_packing": op5_packing,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
