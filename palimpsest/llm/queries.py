@@ -29,6 +29,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import op4_quality as op
+
+    return op(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import op5_packing as op
 
@@ -47,11 +53,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import op7_toxicity as op
+
+    return op(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import op8_language as op
+
+    return op(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_token_files": op2_token_files,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op10_secrets": op10_secrets,
 }
 
