@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-#: Filters a vector has on average, filters it has at least, blocks of a code,
+#: Filters a vector has about on average, filters it has at least, blocks of a code,
 #: and rows of a crowded filter that are compared at once.
-EXPECTED, LEAST, PARTS, CROWD = 14, 10, 4, 1500
+EXPECTED, LEAST, PARTS, CROWD = 12, 9, 4, 1500
 
 
 class Codes:
@@ -43,7 +43,7 @@ class Codes:
     def __init__(self, dim: int, vectors: int, seed: int = 5):
         rng = np.random.default_rng([seed, dim])
         self.parts = min(PARTS, dim)
-        self.words = int(np.clip(np.ceil(max(1, vectors) ** (1 / self.parts)), 8, 128))
+        self.words = int(np.clip(np.ceil((4 * max(1, vectors)) ** (1 / self.parts)), 8, 128))
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.linspace(0, dim, self.parts + 1).astype(int)
         self.books = []
@@ -117,21 +117,13 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(key, table):
-    """Links inside one group (or between the two blocks of one): for each vector
-    the number of linked rows, and one edge to its component's root in the group."""
-    least = key[3].as_py()
-    cosine = key[4].as_py()
-    ids = np.array(table.column("id").to_pylist(), np.int64)
-    weight = table.column("n").to_numpy().astype(np.int64)
-    side = table.column("side").to_numpy()
-    x = _unit(table.column("vec").to_pylist())
-    filters = [np.frombuffer(f, "<i8") for f in table.column("filters").to_pylist()]
+def compare(ids, weight, side, x, filters, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links inside one group (or between the two blocks of one): ids of linked
+    vectors, the numbers of rows they link to, and their roots in the group."""
     smaller = [f[f < least] for f in filters]
-    known, where = np.unique(np.concatenate(smaller), return_inverse=True) if smaller else (np.zeros(0), np.zeros(0, int))
-    owner = np.repeat(np.arange(len(ids)), [len(s) for s in smaller])
+    known, where = np.unique(np.concatenate(smaller), return_inverse=True)
     met = np.zeros((len(ids), len(known)), np.float32)
-    met[owner, where] = 1
+    met[np.repeat(np.arange(len(ids)), [len(s) for s in smaller]), where] = 1
     met = met[:, met.sum(0) > 1]
     linked = x @ x.T >= cosine
     if met.shape[1]:
@@ -140,9 +132,76 @@ def compare(key, table):
     if side.any():
         linked &= side[:, None] != side[None, :]
     got = linked @ weight
-    root = _forest(linked)
     use = got > 0
-    return pa.table([pa.array(ids[use]), pa.array(got[use]), pa.array(ids[root[use]])], names=["id", "links", "root"])
+    return ids[use], got[use], ids[_forest(linked)[use]]
+
+
+#: Groups up to this size are screened together, pair by pair, before any is looked at alone.
+SMALL = 40
+
+
+def _linked_groups(x: np.ndarray, start: np.ndarray, end: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of some small groups hold any pair as close as ``cosine``."""
+    size = end - start
+    row = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    later = np.repeat(end, size) - row - 1
+    group = np.repeat(np.repeat(np.arange(len(size)), size), later)
+    a = np.repeat(row, later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    out = np.zeros(len(size), bool)
+    for at in range(0, len(a), 20_000):
+        c = np.einsum("ij,ij->i", x[a[at : at + 20_000]], x[b[at : at + 20_000]])
+        out[group[at : at + 20_000][c >= cosine - 1e-9]] = True
+    return out
+
+
+def compare_sorted(cosine: float):
+    """Groups of a sorted partition, a batch at a time; a group that a batch cuts
+    is carried over."""
+
+    def groups(table: pa.Table):
+        columns = [table.column(c).to_numpy() for c in ("place", "dim", "filter", "pair")]
+        change = np.ones(len(table), bool)
+        change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return np.flatnonzero(change)
+
+    def work(table: pa.Table, start: np.ndarray):
+        ids, weight, side, least = (table.column(c).to_numpy() for c in ("id", "n", "side", "filter"))
+        dims = table.column("dim").to_numpy()
+        vec, filters = table.column("vec").to_pylist(), table.column("filters").to_pylist()
+        end = np.append(start[1:], len(table))
+        out = [(np.zeros(0, np.int64),) * 3]
+        for dim in np.unique(dims[start]).tolist():
+            mine = np.flatnonzero((dims[start] == dim) & (end - start > 1))
+            rows = np.flatnonzero(dims == dim)
+            place = np.full(len(table), -1)
+            place[rows] = np.arange(len(rows))
+            x = _unit([vec[r] for r in rows.tolist()])
+            small = mine[end[mine] - start[mine] <= SMALL]
+            look = set(mine[end[mine] - start[mine] > SMALL].tolist())
+            if len(small):
+                look |= set(small[_linked_groups(x, place[start[small]], place[end[small] - 1] + 1, cosine)].tolist())
+            for g in sorted(look):
+                a, b = int(start[g]), int(end[g])
+                out.append(compare(ids[a:b], weight[a:b], side[a:b], x[place[a] : place[a] + b - a], [np.frombuffer(f, "<i8") for f in filters[a:b]], int(least[a]), cosine))
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "links", "root"])
+
+    def run(batches):
+        left: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if left is not None:
+                table = pa.concat_tables([left, table]).combine_chunks()
+            if not len(table):
+                continue
+            start = groups(table)
+            left = table.slice(start[-1])
+            if len(start) > 1:
+                yield work(table.slice(0, start[-1]), start[:-1])
+        if left is not None and len(left) > 1:
+            yield work(left, np.zeros(1, np.int64))
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -173,15 +232,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
                     yield pa.record_batch([*part.columns, pa.array(lists, pa.binary()), arrays], [*batch.schema.names, "filters", "each"])
 
     coded = written(nodes.select("id", "n", "label", "dim", "vec").mapInArrow(decode, "id long, n long, label string, dim int, vec binary, filters binary, each array<long>"), "vector-filters")
-    crowds = coded.select("label", "dim", F.explode("each").alias("filter")).groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    met = coded.select("id", "n", "label", "dim", "vec", "filters", F.explode("each").alias("filter")).join(crowds, ["label", "dim", "filter"])
+    light = coded.select("id", F.xxhash64("label").alias("place"), "dim", F.explode("each").alias("filter"))
+    crowds = light.groupBy("place", "dim", "filter").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     blocks = F.ceil(F.col("crowd") / CROWD).cast("int")
-    placed = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    met = light.join(crowds, ["place", "dim", "filter"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     # a block meets itself and each other block once: group (i, j) with i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = placed.select("*", other).withColumn("pair", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).withColumn("side", F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") > F.col("other"), 2).otherwise(1)))
-    grouped = pairs.groupBy("label", "dim", "pair", "filter", F.lit(cosine).alias("cosine"))
-    found = written(grouped.applyInArrow(compare, "id long, links long, root long"), "vector-links")
+    pairs = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "place", "dim", "filter", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") > F.col("other"), 2).otherwise(1).alias("side"))
+    heavy = pairs.join(coded.select("id", "n", "vec", "filters"), "id")
+    keys = ["place", "dim", "filter", "pair"]
+    found = written(heavy.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare_sorted(cosine), "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     names = nodes.select("id", "key", "rep", "n")
     joined = components(found.select("id", "root"), "id", "root")

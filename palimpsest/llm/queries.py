@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import embedding
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -29,6 +31,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding import op3_embedding_dedup as op
+
+    return op(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import op4_quality as op
 
@@ -68,6 +76,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_token_files": op2_token_files,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
@@ -76,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": embedding.ORACLE}
