@@ -110,16 +110,18 @@ def count_models(docs: DataFrame, good: DataFrame) -> np.ndarray:
     return out.reshape(2, TRACKS, BUCKETS)
 
 
+#: Counts by which each bucket leans towards a ratio of 1.
+LEAN = 10.0
+
+
 def log_ratio(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log(target / raw) by track and bucket."""
+    """Smoothed log(target / raw) by track and bucket.  The raw count is less one:
+    the text that is being weighed is in it, but seldom in the target."""
     raw, target = counts
     if not target.any():
         return np.zeros(raw.shape)
-    p = (raw + 1.0) / (raw.sum(1, keepdims=True) + BUCKETS)
-    scale = target.sum(1, keepdims=True)
-    # the target is smoothed by the raw model, so unseen buckets lean on it
-    q = (target + 4.0 * p * BUCKETS * 0.05) / (scale + 4.0 * BUCKETS * 0.05)
-    return np.log(q / p)
+    share = target.sum(1, keepdims=True) / np.maximum(raw.sum(1, keepdims=True), 1)
+    return np.log((target + LEAN) / (np.maximum(raw - 1, 0) * share + LEAN))
 
 
 def good_sample(labels: DataFrame, most: int) -> DataFrame:
