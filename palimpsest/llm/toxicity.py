@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic
 regression.
 
-The lexicon (words and word beginnings that mark toxic texts) is learned from
-half of a bounded sample of labelled rows, the trees from the other half, the
-calibration from rows that neither saw.  Features of a text: densities and
+The lexicon (words and word beginnings that mark toxic texts) is learned from a
+bounded sample of labelled rows; the trees see each of these rows through a
+lexicon of the half it isn't in, and the calibration uses rows that no tree saw.  Features of a text: densities and
 weights of lexicon hits, hits near second-person words, hits that appear only
 once disguised letters are undone, capitals, marks, digits, repeated letters.
 
@@ -28,6 +28,8 @@ from .words import KIND, LOW, MARK, WORD, Tokens, hash_word, per_doc, tokens
 
 #: The most labelled rows learned from, and the most lexicon entries kept.
 FIT_ROWS, LEXICON = 24_000, 20_000
+#: How much oftener toxic rows hold an entry, and the weight of a strong one.
+RATIO, STRONG = 6.0, 4.0
 #: Bytes of word beginnings that may be lexicon entries, besides whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Tokens between a lexicon word and a second-person word that count as near.
@@ -40,7 +42,7 @@ for _a, _b in zip("0134578@$!", "oieastbasi"):
 _LEET_KIND = KIND.copy()
 _LEET_KIND[[ord(c) for c in "@$!*"]] = WORD
 YOU = np.sort(np.array([hash_word(w) for w in _YOU], np.uint64))
-NAMES = ["words", "hits", "density", "weight", "heaviest", "distinct", "prefix_hits", "prefix_density", "near_you", "you", "disguised", "capitals", "shouting", "marks", "exclaim", "question", "digits", "mixed", "stretched", "foreign", "word_bytes"]
+NAMES = ["words", "hits", "density", "weight", "heaviest", "distinct", "prefix_hits", "prefix_density", "strong", "strong_density", "near_you", "you", "disguised", "capitals", "shouting", "marks", "exclaim", "question", "digits", "mixed", "stretched", "foreign", "word_bytes"]
 
 
 def member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarr
         same[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (KIND[raw[2:]] == WORD)
     columns = [
         np.log1p(n), per_doc(either, t.bounds), per_doc(either, t.bounds) / n, per_doc(weight, t.bounds), heaviest, distinct,
-        per_doc(begin_hit, t.bounds), per_doc(begin_hit, t.bounds) / n, per_doc(near, t.bounds), per_doc(you, t.bounds) / n,
+        per_doc(begin_hit, t.bounds), per_doc(begin_hit, t.bounds) / n, per_doc(weight > STRONG, t.bounds), per_doc(weight > STRONG, t.bounds) / n, per_doc(near, t.bounds), per_doc(you, t.bounds) / n,
         per_doc(disguised, u.bounds), byte(upper) / letters, per_doc(shouting, t.bounds) / n, byte(KIND[raw] == MARK) / size,
         byte(raw == 33) / size, byte(raw == 63) / size, byte((raw >= 48) & (raw < 58)) / size, per_doc(disguise, u.bounds) / n,
         byte(same) / size, byte(raw >= 128) / size, letters / n,
@@ -154,8 +156,8 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(edges)], 1).astype(np.uint8) if len(x) else np.zeros((0, len(edges)), np.uint8)
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate: float = 0.12, bins: int = 48, l2: float = 4.0) -> Trees:
-    """Newton boosting of the logistic loss with histograms."""
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate: float = 0.12, bins: int = 48, l2: float = 1.0, least: int = 4) -> Trees:
+    """Newton boosting of the logistic loss with histograms; ``least`` rows to a leaf."""
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     b = binned(x, edges).astype(np.int64)
     width, count = bins + 1, x.shape[1]
@@ -175,9 +177,10 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate:
             total = nodes * count * width
             hg = np.bincount(key, np.repeat(g, count), total).reshape(nodes, count, width).cumsum(2)
             hh = np.bincount(key, np.repeat(h, count), total).reshape(nodes, count, width).cumsum(2)
+            rows = np.bincount(key, minlength=total).reshape(nodes, count, width).cumsum(2)
             ag, ah = hg[:, :, -1:], hh[:, :, -1:]
             gain = hg**2 / (hh + l2) + (ag - hg) ** 2 / (ah - hh + l2) - ag**2 / (ah + l2)
-            gain[(hh < 1) | (ah - hh < 1)] = 0
+            gain[(rows < least) | (rows[:, :, -1:] - rows < least)] = 0
             best = gain.reshape(nodes, -1).argmax(1)
             tree_f[nodes - 1 : 2 * nodes - 1] = best // width
             tree_c[nodes - 1 : 2 * nodes - 1] = np.where(gain.reshape(nodes, -1).max(1) > 1e-6, best % width, 255)
@@ -222,19 +225,22 @@ class Model:
         return np.clip(self.trees.score(features(raw, offsets, self.lexicon)), 0, 1)
 
 
-def learn_lexicon(rows: DataFrame) -> tuple[Lexicon, int, int]:
-    """Entries that toxic rows hold far oftener; ``rows`` has label and text.
+def learn_lexicons(rows: DataFrame) -> tuple[list[Lexicon], np.ndarray]:
+    """Lexicons from fold 0, fold 1 and both, and the rows by [fold, label];
+    ``rows`` has fold, label and text.
 
-    Each partition counts the rows that hold a key, and the counts are summed by
-    key; only keys that pass reach the driver, LEXICON of them at most.
+    Entries are keys that toxic rows hold far oftener.  Each partition counts the
+    rows that hold a key, and the counts are summed by key; only keys that pass
+    reach the driver, LEXICON of them at most.
     """
+    names = ["clean0", "toxic0", "clean1", "toxic1"]
 
     def run(batches):
-        keys, labels, kinds = [], [], []
+        keys, cells, kinds = [], [], []
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                raw, offsets = text_bytes(batch.column(1).slice(a, b - a))
-                label = np.array(batch.column(0).slice(a, b - a).to_pylist(), np.int64)
+            for a, b in slices(batch.column(2)):
+                raw, offsets = text_bytes(batch.column(2).slice(a, b - a))
+                cell = 2 * np.array(batch.column(0).slice(a, b - a).to_pylist(), np.int64) + np.array(batch.column(1).slice(a, b - a).to_pylist(), np.int64)
                 t = tokens(raw, offsets)
                 owner, word = t.doc(), t.kind == WORD
                 for kind, h in ((0, t.hashes()), *((k, _salted(t, k)) for k in PREFIXES)):
@@ -245,31 +251,44 @@ def learn_lexicon(rows: DataFrame) -> tuple[Lexicon, int, int]:
                     first = np.ones(len(o), bool)
                     first[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
                     keys.append(k[first])
-                    labels.append(label[o[first]])
+                    cells.append(cell[o[first]])
                     kinds.append(np.full(first.sum(), kind, np.int8))
         if not keys:
             return
-        key, label, kind = np.concatenate(keys), np.concatenate(labels), np.concatenate(kinds)
+        key, cell, kind = np.concatenate(keys), np.concatenate(cells), np.concatenate(kinds)
         one, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        toxic = np.bincount(inverse, label).astype(np.int64)
-        yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(toxic), pa.array(np.bincount(inverse) - toxic)], ["key", "kind", "toxic", "clean"])
-
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nt, nc = sizes.get(1, 0), sizes.get(0, 0)
-    if not nt or not nc:
-        return Lexicon(*(np.zeros(0, k) for k in (np.uint64, float, np.uint64, float))), nt, nc
-    least = max(3, nt // 250)
-    ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (nc / nt)
-    found = rows.select("label", "text").mapInArrow(run, "key long, kind int, toxic long, clean long").groupBy("key", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    top = found.where((F.col("toxic") >= least) & (ratio > 6)).withColumn("weight", F.log(ratio) * F.sqrt("toxic")).orderBy(F.desc("weight"), "key").limit(LEXICON).collect()
-
-    def table(pick) -> tuple[np.ndarray, np.ndarray]:
-        key = np.array([r.key for r in top if pick(r.kind)], np.int64).view(np.uint64)
-        weight = np.array([np.log((r.toxic + 0.5) / (r.clean + 0.5) * nc / nt) for r in top if pick(r.kind)])
-        order = np.argsort(key)
-        return key[order], weight[order]
-
-    return Lexicon(*table(lambda k: k == 0), *table(lambda k: k > 0)), nt, nc
+        counts = np.bincount(inverse * 4 + cell, minlength=4 * len(one)).reshape(-1, 4)
+        yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(kind[first].astype(np.int32)), *(pa.array(c) for c in counts.T)], ["key", "kind", *names])
+
+    sizes = np.zeros((2, 2))
+    for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.fold, r.label] = r.n
+    choices = [([0], sizes[0]), ([1], sizes[1]), ([0, 1], sizes.sum(0))]
+
+    def figures(folds, size, counts):
+        toxic = sum((counts[f"toxic{f}"] for f in folds), 0)
+        clean = sum((counts[f"clean{f}"] for f in folds), 0)
+        return toxic, (toxic + 0.5) / (clean + 0.5) * float(size[0] / max(1, size[1])), float(max(3, size[1] // 250))
+
+    found = rows.select("fold", "label", "text").mapInArrow(run, "key long, kind int, " + ", ".join(f"{n} long" for n in names)).groupBy("key", "kind").agg(*(F.sum(n).alias(n) for n in names))
+    passes, weight = F.lit(False), F.lit(0.0)
+    for folds, size in choices:
+        toxic, ratio, least = figures(folds, size, {n: F.col(n) for n in names})
+        passes = passes | ((toxic >= least) & (ratio > RATIO))
+        weight = F.log(ratio) * F.sqrt(toxic)
+    top = found.where(passes).withColumn("weight", weight).orderBy(F.desc("weight"), "key").limit(LEXICON).collect()
+    key, kind = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.kind for r in top], np.int64)
+    counts = {n: np.array([r[n] for r in top], float) for n in names}
+    out = []
+    for folds, size in choices:
+        toxic, ratio, least = figures(folds, size, counts)
+        good = (toxic >= least) & (ratio > RATIO) if len(key) and size.min() > 0 else np.zeros(len(key), bool)
+        parts = []
+        for which in (good & (kind == 0), good & (kind > 0)):
+            order = np.argsort(key[which])
+            parts += [key[which][order], np.log(np.asarray(ratio)[which])[order] if which.any() else np.zeros(0)]
+        out.append(Lexicon(*parts))
+    return out, sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
@@ -277,27 +296,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = labelled_sample(marked, "toxic", most)
     rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(8))
-    lexicon, nt, nc = learn_lexicon(rows.where(part < 4).select("label", "text"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(8)).cast("int")
+    (first, second, both), sizes = learn_lexicons(rows.select((part % 2).alias("fold"), "label", "text"))
 
     def run(batch: pa.RecordBatch):
         for a, b in slices(batch.column(2)):
-            x = features(*text_bytes(batch.column(2).slice(a, b - a)), lexicon)
+            raw, offsets = text_bytes(batch.column(2).slice(a, b - a))
+            fold = np.array(batch.column(0).slice(a, b - a).to_pylist()) % 2
+            # each row is described with the lexicon of the other fold
+            x = np.where((fold == 0)[:, None], features(raw, offsets, second), features(raw, offsets, first)).astype(np.float32)
             yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["part", "label", "x"])
 
-    got = sorted((r.part, r.label, bytes(r.x)) for r in map_arrow(rows.where(part >= 4).select(part.cast("int").alias("part"), "label", "text"), run, "part int, label int, x binary").collect())
+    got = sorted((r.part, r.label, bytes(r.x)) for r in map_arrow(rows.select(part.alias("part"), "label", "text"), run, "part int, label int, x binary").collect())
     y = np.array([g[1] for g in got], float)
-    if not len(y) or y.min() == y.max() or not nt or not nc:
-        total = nt + nc + len(y)
-        return Model(lexicon, None, (nt + y.sum()) / total if total else 0.0)
+    if sizes.min() < 1 or y.min() == y.max():
+        return Model(both, None, float(sizes[:, 1].sum() / sizes.sum()) if sizes.sum() else 0.0)
     x = np.stack([np.frombuffer(g[2], np.float32) for g in got])
-    calibrate = np.array([g[0] == 7 for g in got])
+    calibrate = np.array([g[0] >= 6 for g in got])
     if len(set(y[calibrate])) < 2 or calibrate.sum() < 50 or len(set(y[~calibrate])) < 2:
         calibrate[:] = False
     trees = boost(x[~calibrate], y[~calibrate])
     if calibrate.any():
         trees.knots, trees.values = isotonic(trees.raw(x[calibrate]), y[calibrate])
-    return Model(lexicon, trees, float(y.mean()))
+    return Model(both, trees, float(y.mean()))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
