@@ -21,6 +21,7 @@ Other columns are ignored by ``importance`` and kept by ``resample``.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,7 +184,7 @@ def keep_sampled(docs: DataFrame, ratio: Ratio, least: float, text_col: str = "t
     """The drawn rows with all their columns: those whose key reaches ``least``."""
     at = docs.columns.index(text_col)
     schema = docs.schema
-    keyed = docs.withColumn("__noise", _gumbel())
+    keyed = docs.select("*", _gumbel().alias(f"noise_{uuid.uuid4().hex}"))
 
     def run(batches):
         for batch in batches:
