@@ -143,7 +143,8 @@ class SmallWorld:
             new = np.sort(new, 1)
             ok = (new >= 0) & self.known[new] & ~seen[rows[:, None], new]
             ok[:, 1:] &= new[:, 1:] != new[:, :-1]
-            seen[rows[:, None], np.where(ok, new, new[:, :1])] |= ok
+            at, k = np.nonzero(ok)
+            seen[rows[at], new[at, k]] = True
             d = np.bitwise_count(self.points[new] ^ queries[rows][:, None, :]).sum(2, dtype=np.uint16)
             d[~ok] = 9999
             all_d = np.concatenate([dist[rows], d], 1)

@@ -198,13 +198,9 @@ def isotonic(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y to s, by pooling adjacent violators;
     each block is smoothed by one row of each kind so no score is exactly 0 or 1."""
     blocks: list[list[float]] = []
-    order = np.argsort(s, kind="stable")
-    for value, label in zip(s[order].tolist(), y[order].tolist()):
-        if blocks and blocks[-1][3] == value:
-            blocks[-1][0] += label
-            blocks[-1][1] += 1
-        else:
-            blocks.append([label, 1, value, value])
+    points, owner = np.unique(s, return_inverse=True)
+    for value, label, rows in zip(points.tolist(), np.bincount(owner, y).tolist(), np.bincount(owner).tolist()):
+        blocks.append([label, rows, value, value])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
