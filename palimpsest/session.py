@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: int | str = "*", partitions: int = 8, settings: dict[str, str] | None = None) -> SparkSession:
     """A local session as tests and benchmarks use it.  On a cluster the session
     comes from the caller; operators take all settings from it."""
     cores = os.environ.get("BENCH_CPUS", cores)
@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        **(settings or {}),
     }.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 
 
+#: Folders made for sessions without the setting, as in local tests.
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; set to a local folder where unset."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
+
+    Only a session without that setting gets a temporary folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        own = spark.sparkContext.applicationId
+        base = _local.get(own) or _local.setdefault(own, "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
