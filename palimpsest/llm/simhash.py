@@ -36,6 +36,8 @@ BITS, RADIUS, SHARD = 256, 46, 4096
 #: Share of unlike bits that the samples are laid out for, and the share of such
 #: pairs that meet in some shard.
 DESIGN, REACH = 0.16, 0.998
+#: Crowded shards whose list is broadcast at most (24 bytes each).
+LISTED = 100_000
 _WORDS = BITS // 64
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -293,8 +295,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, search: str = "scan")
         return pa.record_batch([*(c.take(pa.array(take)) for c in batch.columns), pa.array(np.tile(np.arange(len(masks), dtype=np.int32), len(batch))), pa.array(shard.ravel())], ["id", "n", "code", "sample", "shard"])
 
     sent = map_arrow(nodes.select("id", "n", "code"), send, "id long, n long, code binary, sample int, shard long")
-    crowds = sent.groupBy("sample", "shard").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    met = sent.join(crowds, ["sample", "shard"]).withColumn("blocks", F.ceil(F.col("crowd") / (2 * SHARD)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    # only crowded shards are cut; their list is sent to all tasks while it is short, else joined
+    hot = written(sent.groupBy("sample", "shard").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 2 * SHARD), "crowded-shards")
+    listed = F.broadcast(hot) if hot.count() <= LISTED else hot.hint("merge")
+    blocks = F.ceil(F.coalesce("crowd", F.lit(1)) / (2 * SHARD)).cast("int")
+    met = sent.join(listed, ["sample", "shard"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     # a block meets itself and each other block once
     pairs = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "n", "code", "sample", "shard", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") > F.col("other"), 2).otherwise(1).alias("side"))
     keys = ["sample", "shard", "pair"]
@@ -314,6 +319,10 @@ def op9_simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns: the least id of each class."""
+    """The rows that stay, with all their columns: the least id of each class.
+
+    The join is by sorting at every size: the list of ids to go grows with the
+    corpus, so a plan that sends it to all tasks would only hold for small ones.
+    """
     gone = written(near_duplicates(docs), "classes").where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
