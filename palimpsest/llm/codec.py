@@ -19,7 +19,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batch: pa.RecordBatch):
         bpe = coder(tokenizer)
-        for a, b in slices(batch.column(1)):
+        for a, b in slices(batch.column(1), 2_000_000):
             ids, offsets = bpe.encode(batch.column(1).slice(a, b - a).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype("int32")))
             yield pa.record_batch([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
@@ -45,7 +45,7 @@ def op6_bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         bpe = coder(tokenizer)
-        for a, b in slices(batch.column(1)):
+        for a, b in slices(batch.column(1), 2_000_000):
             ids, offsets = bpe.encode(batch.column(1).slice(a, b - a).to_pylist())
             raw, bounds = ids.astype("<u4").tobytes(), offsets.tolist()
             ids_sha = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(bounds, bounds[1:])]

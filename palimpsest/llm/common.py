@@ -46,8 +46,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     return df.mapInArrow(run, schema)
 
 
-def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column with at most so many bytes, one row at least."""
+def slices(column: pa.Array, most: int = 1_000_000, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column with at most so many bytes and rows, one row at least."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -56,7 +56,7 @@ def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]
     ends = np.cumsum(_sizes(column))
     at, before = 0, 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
         yield at, end
         at, before = end, int(ends[end - 1])
 
@@ -117,7 +117,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None, wide: bool =
     def run(batch: pa.RecordBatch):
         bpe = coder(tokenizer)
         text = batch.column(1)
-        for a, b in slices(text):
+        for a, b in slices(text, 2_000_000):
             ids, offsets = bpe.encode(text.slice(a, b - a).to_pylist())
             tail = np.array([] if end_id is None else [end_id], np.uint32)
             out, sizes = [], np.diff(offsets) + len(tail)

@@ -148,7 +148,7 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = FIT_ROWS) -> Mode
     rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("label", "text")
 
     def run(batch: pa.RecordBatch):
-        for a, b in slices(batch.column(1)):
+        for a, b in slices(batch.column(1), 1_000_000, 500):
             x = features(*text_bytes(batch.column(1).slice(a, b - a)))
             yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["label", "x"])
 
@@ -174,7 +174,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a column."""
     langs: list[str] = []
     scores = [np.zeros(0)]
-    for a, b in slices(column, 2_000_000):
+    for a, b in slices(column, 1_000_000, 500):
         raw, offsets = text_bytes(column.slice(a, b - a))
         found, score = model.predict(features(raw, offsets))
         for i in np.flatnonzero(~has_letter(raw, offsets)).tolist():
