@@ -38,6 +38,8 @@ TRACKS = 2
 #: Nats by which the raw model must win before a text's weight falls below 1, and
 #: the log weight of a text without n-grams.
 DOUBT, NO_TEXT = 10.0, -1000.0
+#: What puts the keys of certain texts above all others (noise stays below 50).
+CERTAIN = 100.0
 
 
 def _bucket(h: np.ndarray, seed: int) -> np.ndarray:
@@ -152,14 +154,18 @@ def _gumbel():
     return (-F.log(-F.log(uniform))).alias("noise")
 
 
+def gumbel_key():
+    """Log weight and noise, above all others where the weight is 1."""
+    return F.col("log_weight") + F.col("noise") + F.when(F.col("log_weight") >= 0, CERTAIN).otherwise(0.0)
+
+
 def threshold(weights: DataFrame) -> float:
-    """The k-th largest of log_weight + noise, k the rounded sum of the weights.
+    """The k-th largest key, k the rounded sum of the weights.
 
     Histograms of the keys narrow the place down, so nothing is sorted and no more
     than a few thousand counts reach the driver.  Keys tied there are all kept.
     """
-    key = F.col("log_weight") + F.col("noise")
-    keys = weights.where(F.col("log_weight") > NO_TEXT).select(key.alias("key"), F.exp("log_weight").alias("w"))
+    keys = weights.where(F.col("log_weight") > NO_TEXT).select(gumbel_key().alias("key"), F.exp("log_weight").alias("w"))
     row = keys.agg(F.sum("w").alias("k"), F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).head()
     k = min(row.n, round(row.k or 0))
     if not k:
@@ -192,7 +198,7 @@ def keep_sampled(docs: DataFrame, ratio: Ratio, least: float, text_col: str = "t
             plain, text = batch.select(list(range(len(batch.columns) - 1))), batch.column(at).cast(pa.string())
             for a, b in slices(text):
                 weight = ratio.log_weight(*text_bytes(text.slice(a, b - a)))
-                keep = (weight > NO_TEXT) & (weight + noise[a:b] >= least)
+                keep = (weight > NO_TEXT) & (weight + noise[a:b] + np.where(weight >= 0, CERTAIN, 0.0) >= least)
                 yield plain.slice(a, b - a).filter(pa.array(keep))
 
     return keyed.mapInArrow(run, schema)
@@ -202,5 +208,4 @@ def op4_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query: doc_id, log_weight, gumbel_key and kept of every document."""
     weights = written(importance(docs, train(docs, labels)), "importance")
     least = threshold(weights)
-    key = F.col("log_weight") + F.col("noise")
-    return weights.select("doc_id", "log_weight", key.alias("gumbel_key"), ((F.col("log_weight") > NO_TEXT) & (key >= least)).alias("kept"))
+    return weights.select("doc_id", "log_weight", gumbel_key().alias("gumbel_key"), ((F.col("log_weight") > NO_TEXT) & (gumbel_key() >= least)).alias("kept"))

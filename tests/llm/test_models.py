@@ -125,10 +125,10 @@ def test_quality_counts_by_brute_force(spark, odd_docs):
 def test_threshold_is_the_kth_largest(spark):
     rng = random.Random(4)
     for n, ties in ((1, 1), (50, 1), (3000, 1), (400, 40)):
-        rows = [(-rng.random() * 5, rng.random() * 10) for _ in range(n)] * ties
+        rows = [(min(0.0, 1 - rng.random() * 5), rng.random() * 10) for _ in range(n)] * ties
         weights = spark.createDataFrame(rows, "log_weight double, noise double").repartition(3)
         k = round(sum(np.exp(w) for w, _ in rows))
-        keys = sorted((w + g for w, g in rows), reverse=True)
+        keys = sorted((w + g + (quality.CERTAIN if w >= 0 else 0.0) for w, g in rows), reverse=True)
         assert quality.threshold(weights) == (keys[min(k, len(keys)) - 1] if k else float("inf"))
     assert quality.threshold(weights.limit(0)) == float("inf")
 
