@@ -15,7 +15,7 @@ README for why scanning is the default).  A crowded shard is cut into blocks
 whose pairs are separate groups.  Groups give counts and the edges of a spanning
 forest, never their pairs.
 
-Null texts and texts without words link with nothing and stand alone; rows with
+Texts without words go by their marks.  Null, empty and blank texts link with nothing and stand alone; rows with
 equal ids are separate documents; an empty table gives no rows; other columns are
 ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
@@ -43,10 +43,12 @@ _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0
 
 
 def codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows of uint64) of texts, and whether each has any word."""
+    """Codes (rows of uint64) of texts, and whether each has any word or mark."""
     docs = len(offsets) - 1
     t = tokens(raw, offsets)
     word = t.kind == WORD
+    wordless = np.bincount(t.doc()[word], minlength=docs) == 0
+    word |= wordless[t.doc()]  # texts of marks alone go by their marks
     # doc in the upper bits: one sort puts the distinct words of each document together
     key = np.unique(t.doc()[word].astype(np.uint64) << np.uint64(40) | t.hashes()[word] >> np.uint64(24))
     owner, h = (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
@@ -271,7 +273,7 @@ def _search(masks: np.ndarray, radius: int, search: str):
 
 
 def code_table(docs: DataFrame) -> DataFrame:
-    """doc_id and code (null: no words) of every whole text."""
+    """doc_id and code (null: blank) of every whole text."""
 
     def run(batch: pa.RecordBatch):
         for a, b in slices(batch.column(1)):

@@ -179,6 +179,14 @@ def test_small_world_finds_clusters():
     assert 2 * len(a) + 800 >= 0.995 * exact
 
 
+def test_codes_of_odd_texts():
+    code, some = simhash.codes(*text_bytes(pa.array(["!!! ???", "??? !!!", "a b", "A, b!", None, "", " \n", "x"])))
+    assert some.tolist() == [True] * 4 + [False] * 3 + [True]
+    assert (code[0] == code[1]).all() and (code[2] == code[3]).all() and (code[0] != code[2]).any()
+    alone, _ = simhash.codes(*text_bytes(pa.array(["x"])))
+    assert (alone[0] == code[7]).all()
+
+
 def test_samples_reach_close_pairs():
     rng = np.random.default_rng(0)
     masks = simhash.samples(500_000)
