@@ -115,3 +115,17 @@ def test_hashing_embedder_is_stable():
     e = HashingEmbedder(64)
     assert np.array_equal(e.embed_documents(["a b", ""])[0], e.embed_documents(["b A"])[0])
     assert not e.embed_documents([""]).any()
+
+
+def test_command_line(spark, repo, tmp_path):
+    from palimpsest.__main__ import main
+
+    run = lambda *args: main(["--home", str(tmp_path / "home"), *args], spark)
+    assert run("add", "a", str(repo)) == [f"a: {repo}"]
+    assert run("alias", "all", "a") == ["all: a"] == run("alias", "all")
+    assert run("status") == ["a: 0 layers, 0 chunks, latest -"]
+    assert run("index")[0].endswith("2 files, 2 chunks, 2 embedded") and run("index", "all")[0].endswith("is up to date")
+    found = run("search", "all", "gamma", "--dir", str(repo / "src"), "--top", "1")
+    assert len(found) == 1 and "src/b.py (0, 360) [1.0000] current" in found[0]
+    assert run("search", "a", "gamma", "--dir", "/etc") == []
+    assert run("gc", "--dry-run") == [] and run("drop", "a") == ["a: dropped"]
