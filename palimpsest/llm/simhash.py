@@ -6,9 +6,11 @@ angle between their sets of words.  Two documents are linked if their codes
 differ in at most RADIUS bits.  Documents of one code are one node with a weight:
 exact copies and texts that differ in case or marks only are never compared.
 
-Nodes are sent to shards by samples of their bits, one shard for each of several
-samples; a pair is verified where its bits agree first and counted there only.
-Inside a shard, ``search="scan"`` compares all codes, in blocks;
+Nodes are sent to shards by masks of their bits, one shard for each of several
+masks; a pair is verified where its bits agree first and counted there only.  The
+masks cover the radius: two codes within it agree under one of them, whatever bits
+they differ in, so no link is lost at any size.  Few nodes make one shard.  Inside
+a shard, ``search="scan"`` compares all codes, in blocks;
 ``search="graph"`` searches a navigable small world with beams that grow until an
 audit against exact search is passed, and scans the shard if none passes (see
 README for why scanning is the default).  A crowded shard is cut into blocks
@@ -33,9 +35,9 @@ from .words import WORD, mix, tokens
 
 #: Bits of a code, unlike bits of a link at most, nodes to a shard about.
 BITS, RADIUS, SHARD = 256, 46, 4096
-#: Share of unlike bits that the samples are laid out for, and the share of such
-#: pairs that meet in some shard.
-DESIGN, REACH = 0.16, 0.998
+#: What choosing the masks goes by: seconds to send a node once and to compare a
+#: pair, and the share of bits that unlike texts have alike.
+SENT, COMPARED, ALIKE = 5e-6, 2e-9, 0.53
 #: Crowded shards whose list is broadcast at most (24 bytes each).
 LISTED = 100_000
 _WORDS = BITS // 64
@@ -77,20 +79,41 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def samples(nodes: int, seed: int = 9) -> np.ndarray:
+def cover(parts: int, radius: int, seed: int = 9) -> np.ndarray:
+    """Bit masks (tables x words) of which one misses all bits that two codes within
+    the radius differ in.
+
+    Of disjoint parts of the bits, one has at most r = radius // parts unlike bits.
+    In a part each bit has a vector of r + 1 binary digits, and there is a mask for
+    each vector but zero, of the bits whose product with it is odd: r vectors leave
+    some vector whose products with all of them are even.
+    """
+    within = radius // parts
+    vectors = np.arange(1, 2 << within)
+    rng = np.random.default_rng([seed, parts])
+    masks = np.zeros((parts, len(vectors), BITS), np.uint8)
+    for mask, bits in zip(masks, np.array_split(rng.permutation(BITS), parts)):
+        own = np.resize(rng.permutation(vectors), len(bits))
+        mask[:, bits] = np.bitwise_count(vectors[:, None] & own) & 1
+    return np.packbits(masks.reshape(-1, BITS), axis=1).view(np.uint64).reshape(-1, _WORDS)
+
+
+def samples(nodes: int, radius: int = RADIUS) -> np.ndarray:
     """Bit masks (tables x words): how nodes are sent to shards.
 
-    The sampled bits grow with the number of nodes, so that a shard doesn't; the
-    number of samples grows with the bits, so that the share of pairs that meet
-    stays REACH.
+    One mask of no bits, so that all nodes are one shard, or the cover that costs
+    less: more masks of more bits each as the nodes grow.
     """
-    bits = int(max(0, np.ceil(np.log2(max(1, nodes) / SHARD))))
-    tables = int(np.ceil(np.log(1 - REACH) / np.log(1 - (1 - DESIGN) ** bits))) if bits else 1
-    rng = np.random.default_rng([seed, bits])
-    masks = np.zeros((tables, BITS), np.uint8)
-    for row in masks:
-        row[rng.permutation(BITS)[:bits]] = 1
-    return np.packbits(masks, axis=1).view(np.uint64).reshape(tables, _WORDS)
+    best = np.zeros((1, _WORDS), np.uint64)
+    least = -(-nodes // (4 * SHARD)) * SENT + nodes / 2 * COMPARED
+    for parts in (24, 16, 12, 10, 8, 7):
+        if (parts * (2 << radius // parts)) * SENT >= 2 * least:
+            continue
+        masks = cover(parts, radius)
+        cost = len(masks) * SENT + nodes / 2 * COMPARED * (ALIKE ** np.bitwise_count(masks).sum(1)).sum()
+        if cost < least:
+            best, least = masks, cost
+    return best
 
 
 class SmallWorld:
@@ -164,31 +187,46 @@ class SmallWorld:
         return ids, dist
 
 
-def _close(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and y within the radius: half of the bits rule most pairs out."""
-    half = np.bitwise_count(x[:, :1] ^ y[None, :, 0])
-    half += np.bitwise_count(x[:, 1:2] ^ y[None, :, 1])
-    a, b = np.nonzero(half <= radius)
-    use = np.bitwise_count(x[a] ^ y[b]).sum(1) <= radius
-    return a[use], b[use]
+def _scan(x: np.ndarray, side: np.ndarray, radius: int, most: int = 1 << 20):
+    """All pairs of rows within the radius, of unlike sides if there are two, in
+    portions.  Half of the bits rule most pairs out; tiles stay in the cache."""
+    high, wide = 16, 4096
+    one = np.flatnonzero(side == 1) if side.any() else np.arange(len(x))
+    two = np.flatnonzero(side == 2) if side.any() else one
+    p, q = np.ascontiguousarray(x[one].T), np.ascontiguousarray(x[two].T)
+    unlike, half, more = np.empty(high * wide, np.uint64), np.empty(high * wide, np.uint8), np.empty(high * wide, np.uint8)
+    left, right, held = [], [], 0
+    for at in range(0, len(one), high):
+        rows = p[:, at : at + high]
+        for start in range(0 if side.any() else at, len(two), wide):
+            columns = q[:, start : start + wide]
+            shape = rows.shape[1], columns.shape[1]
+            u, h, m = (k[: shape[0] * shape[1]].reshape(shape) for k in (unlike, half, more))
+            np.bitwise_count(np.bitwise_xor(rows[0][:, None], columns[0], out=u), out=h)
+            h += np.bitwise_count(np.bitwise_xor(rows[1][:, None], columns[1], out=u), out=m)
+            near = np.flatnonzero(h <= radius)
+            a, b = np.divmod(near, shape[1])
+            d = h.ravel()[near].astype(np.uint16)
+            for k in range(2, _WORDS):
+                d += np.bitwise_count(rows[k][a] ^ columns[k][b])
+            use = d <= radius
+            if not side.any():
+                use &= b + start > a + at
+            if use.any():
+                left.append(one[a[use] + at])
+                right.append(two[b[use] + start])
+                held += len(left[-1])
+            if held >= most:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def scan_pairs(x: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows within the radius, of unlike sides if there are two."""
-    left, right = [], []
-    if side.any():
-        one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        for at in range(0, len(one), 64):
-            a, b = _close(x[one[at : at + 64]], x[two], radius)
-            left.append(one[at : at + 64][a])
-            right.append(two[b])
-    else:
-        for at in range(0, len(x), 64):
-            a, b = _close(x[at : at + 64], x[at:], radius)
-            use = b > a
-            left.append(a[use] + at)
-            right.append(b[use] + at)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+    parts = [(np.zeros(0, int), np.zeros(0, int)), *_scan(x, side, radius)]
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
 
 
 def graph_pairs(x: np.ndarray, side: np.ndarray, radius: int, least: float = 0.995, audit: int = 64, beams: tuple[int, ...] = (32, 64, 128, 256)) -> tuple[np.ndarray, np.ndarray]:
@@ -233,20 +271,22 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _search(masks: np.ndarray, radius: int, search: str):
     """Shards of a sorted partition, one at a time; a shard that a batch cuts is
     carried over."""
-    find = {"scan": scan_pairs, "graph": graph_pairs}[search]
+    find = {"scan": _scan, "graph": lambda *shard: [graph_pairs(*shard)]}[search]
 
     def work(table: pa.Table) -> pa.RecordBatch:
         ids, weight, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))
         at = table.column("sample")[0].as_py()
         x = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(-1, _WORDS)
-        a, b = find(x, side, radius)
-        first = np.ones(len(a), bool)
-        unlike = x[a] ^ x[b]
-        for mask in masks[:at]:  # an earlier sample brought the pair together already
-            first &= ((unlike & mask) != 0).any(1)
-        a, b = a[first], b[first]
-        links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        root = roots(len(ids), a, b)
+        links, root = np.zeros(len(ids)), np.arange(len(ids))
+        for a, b in find(x, side, radius):
+            first = np.ones(len(a), bool)
+            unlike = x[a] ^ x[b]
+            for mask in masks[:at]:  # an earlier mask brought the pair together already
+                first &= ((unlike & mask) != 0).any(1)
+            a, b = a[first], b[first]
+            links += np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            root = roots(len(ids), np.concatenate([a, moved]), np.concatenate([b, root[moved]]))
         use = links > 0
         return pa.record_batch([pa.array(ids[use]), pa.array(links[use].astype(np.int64)), pa.array(ids[root[use]])], ["id", "links", "root"])
 
@@ -288,7 +328,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, search: str = "scan")
     directly), class_id (least id that links reach, itself included), kept."""
     table = written(code_table(docs), "codes")
     nodes = written(table.where("code is not null").groupBy("code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("code")), "code-nodes")
-    masks = samples(nodes.count())
+    masks = samples(nodes.count(), radius)
+    block = (4 if search == "scan" else 2) * SHARD
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, _WORDS)
@@ -298,9 +339,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, search: str = "scan")
 
     sent = map_arrow(nodes.select("id", "n", "code"), send, "id long, n long, code binary, sample int, shard long")
     # only crowded shards are cut; their list is sent to all tasks while it is short, else joined
-    hot = written(sent.groupBy("sample", "shard").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 2 * SHARD), "crowded-shards")
+    hot = written(sent.groupBy("sample", "shard").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > block), "crowded-shards")
     listed = F.broadcast(hot) if hot.count() <= LISTED else hot.hint("merge")
-    blocks = F.ceil(F.coalesce("crowd", F.lit(1)) / (2 * SHARD)).cast("int")
+    blocks = F.ceil(F.coalesce("crowd", F.lit(1)) / block).cast("int")
     met = sent.join(listed, ["sample", "shard"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     # a block meets itself and each other block once
     pairs = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "n", "code", "sample", "shard", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") > F.col("other"), 2).otherwise(1).alias("side"))

@@ -196,3 +196,33 @@ def test_samples_reach_close_pairs():
     for m in masks:
         met |= (((x ^ y) & m) == 0).all(1)
     assert met.mean() > 0.998
+
+
+@pytest.mark.parametrize("nodes", [9_293, 200_000, 500_000, 14_000_000, 1_000_000_000])
+def test_pairs_at_the_radius_all_meet(nodes):
+    rng = np.random.default_rng(nodes)
+    unlike = rng.random((20_000, 256)).argsort(1) < simhash.RADIUS
+    unlike = np.packbits(unlike, axis=1).view(np.uint64).reshape(-1, 4)
+    met = np.zeros(len(unlike), bool)
+    for m in simhash.samples(nodes):
+        met |= ((unlike & m) == 0).all(1)
+    assert met.all()
+
+
+@pytest.mark.parametrize("sent,masks", [(1.0, 1), (1e-12, 100)])
+def test_no_link_at_the_radius_is_lost(spark, monkeypatch, sent, masks):
+    monkeypatch.setattr(simhash, "SHARD", 100)
+    monkeypatch.setattr(simhash, "SENT", sent)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**63, (1000, 4), np.uint64)
+    y = x ^ np.packbits(rng.random((1000, 256)).argsort(1) < simhash.RADIUS, axis=1).view(np.uint64).reshape(-1, 4)
+    z = x[:200] ^ np.packbits(rng.random((200, 256)).argsort(1) < simhash.RADIUS + 1, axis=1).view(np.uint64).reshape(-1, 4)
+    code = np.concatenate([x, y, z])
+    assert masks == 1 and len(simhash.samples(len(code))) == 1 or len(simhash.samples(len(code))) >= masks
+    table = spark.createDataFrame([(k, c.tobytes()) for k, c in enumerate(code)], "doc_id long, code binary")
+    monkeypatch.setattr(simhash, "code_table", lambda docs: table)
+    got = {r.doc_id: (r.n_links, r.class_id) for r in simhash.near_duplicates(table).collect()}
+    near = simhash.distances(code, code) <= simhash.RADIUS
+    assert near[np.arange(1000), np.arange(1000, 2000)].all() and not near[np.arange(200), np.arange(2000, 2200)].any()
+    root = groups(len(code), zip(*np.nonzero(near)))
+    assert got == {k: (int(near[k].sum()) - 1, root[k]) for k in range(len(code))}
