@@ -8,11 +8,16 @@ length one.  All machines are linear with squared hinge loss, fitted here.
 A text that is null or has no letter is ``und`` with score 0; equal texts get
 equal answers; an empty table gives no rows; other columns are ignored.  With one
 learned language every text that has a letter gets it; with none, ``und``.
+
+The score only compares learned languages.  ``keep_identified`` with a least score
+also holds a text against each language's own texts: the mean log-likelihood of
+its stretches, less what that language's texts have, nearer to 0 for short texts.
+Texts below a cut fitted on the learned rows are in no learned language.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,9 @@ from .common import id_and_text, map_arrow, slices, text_bytes
 
 #: Feature buckets, and the most labelled rows the machines are fitted on.
 BUCKETS, FIT_ROWS = 4096, 4000
+#: Bytes at which a text's likelihood counts by half; the share of learned rows below
+#: the quantile that the cut is fitted to, and how many times as far out the cut is.
+HALF_BYTES, OUTER, BEYOND = 50, 0.001, 1.6
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is"), "romance": ("fr", "es", "it", "pt", "ro", "ca"), "slavic": ("ru", "pl", "cs", "uk", "sk", "bg", "sr", "hr")}
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -76,6 +84,14 @@ class Model:
 
     families: dict[str, list[str]]
     between: dict[tuple[str, str], np.ndarray]
+    #: Log-likelihoods of the buckets and what own texts have on average, by language.
+    profiles: list[tuple[np.ndarray, float]] = field(default_factory=list)
+    cut: float = -np.inf
+
+    def familiar(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether texts are like those of some learned language."""
+        off = [_off(x, sizes, logs, usual) for logs, usual in self.profiles]
+        return np.max(off, axis=0) >= self.cut if off else np.ones(len(x), bool)
 
     def _vote(self, x: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner of all pairs (votes, then margins), and its certainty."""
@@ -109,6 +125,35 @@ class Model:
         return out, score
 
 
+def _logs(x: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of the buckets in texts; a tenth of a text is spread evenly."""
+    return np.log(((x * x).sum(0, dtype=np.float64) + 0.1 / BUCKETS) / (len(x) + 0.1)).astype(np.float32)
+
+
+def _off(x: np.ndarray, sizes: np.ndarray, logs: np.ndarray, usual: float) -> np.ndarray:
+    return ((x * x) @ logs - usual) * (sizes / (sizes + HALF_BYTES))
+
+
+def fit_profiles(x: np.ndarray, langs: list[str], sizes: np.ndarray) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Profiles of the languages, and the cut: rows are held against profiles of the
+    halves of all languages that they aren't in, and the nearest language counts."""
+    own, names = np.array(langs, object), sorted(set(langs))
+    half = np.zeros(len(x), int)
+    for c in names:
+        half[own == c] = np.arange((own == c).sum()) % 2
+    profiles, off = [], np.full(len(x), -np.inf)
+    for c in names:
+        mine, usual = own == c, 0.0
+        halves = [_logs(x[mine & (half != k)]) for k in (0, 1)]
+        for k, logs in enumerate(halves):
+            rows = x[mine & (half == k)]
+            usual += float(((rows * rows) @ logs).sum()) / mine.sum()
+        for k, logs in enumerate(halves):
+            off[half == k] = np.maximum(off[half == k], _off(x[half == k], sizes[half == k], logs, usual))
+        profiles.append((_logs(x[mine]), usual))
+    return profiles, BEYOND * min(0.0, float(np.quantile(off, OUTER)))
+
+
 def fit(x: np.ndarray, langs: list[str]) -> Model:
     """Machines for the languages found; one of no known family is its own."""
     family_of = {c: name for name, codes in FAMILIES.items() for c in codes}
@@ -150,12 +195,16 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = FIT_ROWS) -> Mode
     def run(batch: pa.RecordBatch):
         for a, b in slices(batch.column(1), 1_000_000, 500):
             x = features(*text_bytes(batch.column(1).slice(a, b - a)))
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["label", "x"])
+            sizes = pa.array(np.diff(text_bytes(batch.column(1).slice(a, b - a))[1]), pa.int64())
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), sizes], ["label", "x", "size"])
 
-    got = sorted((r.label, bytes(r.x)) for r in map_arrow(rows, run, "label string, x binary").collect())
+    got = sorted((r.label, bytes(r.x), r.size) for r in map_arrow(rows, run, "label string, x binary, size long").collect())
     if not got:
         return Model({}, {})
-    return fit(np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x in got]), [c for c, _ in got])
+    x, langs = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x, _ in got]), [c for c, _, _ in got]
+    model = fit(x, langs)
+    model.profiles, model.cut = fit_profiles(x, langs, np.array([n for _, _, n in got]))
+    return model
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -170,13 +219,17 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text of a column."""
+def predict(model: Model, column: pa.Array, reject: bool = False) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a column; ``reject``: a text that is like
+    no learned language's has score 0."""
     langs: list[str] = []
     scores = [np.zeros(0)]
     for a, b in slices(column, 1_000_000, 500):
         raw, offsets = text_bytes(column.slice(a, b - a))
-        found, score = model.predict(features(raw, offsets))
+        x = features(raw, offsets)
+        found, score = model.predict(x)
+        if reject:
+            score[~model.familiar(x, np.diff(offsets))] = 0.0
         for i in np.flatnonzero(~has_letter(raw, offsets)).tolist():
             found[i], score[i] = "und", 0.0
         langs += found
@@ -201,12 +254,13 @@ def op8_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, with a score above ``least``; all columns stay."""
+    """The rows whose text has a language, with a score above ``least``; all columns stay.
+    With a least score, texts in no learned language go, whatever the machines say."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            langs, scores = predict(model, batch.column(at).cast(pa.string()))
+            langs, scores = predict(model, batch.column(at).cast(pa.string()), bool(least))
             yield batch.filter(pa.array([c != "und" for c in langs]) if not least else pa.array([c != "und" and s > least for c, s in zip(langs, scores.tolist())]))
 
     return docs.mapInArrow(run, docs.schema)

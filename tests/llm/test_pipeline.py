@@ -1,7 +1,9 @@
+import random
+
 import corpus_pipeline
 import pytest
 
-from palimpsest.llm import secrets
+from palimpsest.llm import language, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,16 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_language_stage_rejects_what_no_machine_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    odd = [
+        "Это обычный русский текст о погоде и городе, который здесь никто не учил. " * 5, "这是一个没有学过的语言的文本。" * 8, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)), "Ã©Ã¨Ã¼Â§Ã¶ÃŸâ‚¬Ã±Ã³ " * 10,
+        "Tämä on suomenkielinen teksti, jota mallit eivät ole oppineet tuntemaan, ja se on melko pitkä. " * 3, "Ten tekst jest po polsku i nie powinien zostać rozpoznany przez maszyny uczone innych języków. " * 3,
+    ]
+    model = language.train(docs)
+    rows = docs.unionByName(spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(odd)], docs.schema))
+    kept = {r.doc_id for r in language.keep_identified(rows, model, corpus_pipeline.LEAST_LANGUAGE_SCORE).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
