@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import filled, hamming, hamming_to
 from ..functions.paths import DirFilter
+from ..storage import stored
 
 #: How equal distances are ordered: newer layers first, then position and chunk.
 ORDER = ("dist", "seq", "pos", "chunk_index")
@@ -28,6 +29,25 @@ def search_table(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     return met.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def search_blocks(queries: DataFrame, vectors: DataFrame, n: int, most: int = 10_000) -> DataFrame:
+    """``search_table`` for any number of queries: as many blocks of them as keep each
+    under ``most``, every block against all codes.  Queries of one id stay together."""
+    queries = stored(queries, "queries")
+    total, blocks = queries.count(), 1
+    count = total
+    # hashing fills blocks unevenly: more of them until the largest fits; search_table refuses
+    # a single id with more rows than that
+    while count > most and blocks <= total:
+        blocks = max(blocks + 1, -(-count * blocks // most))
+        sizes = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).count()
+        count = sizes.agg(F.max("count")).head()[0]
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = search_table(queries.where(block == 0), vectors, n)
+    for k in range(1, blocks):
+        found = found.unionByName(search_table(queries.where(block == k), vectors, n))
+    return found
+
+
 def topk_per_layer(chunks: DataFrame, query: list[int], n: int) -> DataFrame:
     """The n nearest filled slots of each layer (commit, seq)."""
     scanned = chunks.where(filled(F.col("code"))).select("commit", "seq", "pos", "chunk_index", hamming_to(F.col("code"), query).alias("dist"))

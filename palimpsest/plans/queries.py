@@ -62,7 +62,7 @@ def hamming_topk_batch(spark, d):
     """The ten nearest for every vector whose id is divisible by 50: a stated query set."""
     v = repo.vectors(spark, d)
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("query"))
-    return search.search_table(asked, v, 10).select("query_id", "vec_id", "dist", F.col("rank").cast("long").alias("rank"))
+    return search.search_blocks(asked, v, 10).select("query_id", "vec_id", "dist", F.col("rank").cast("long").alias("rank"))
 
 
 # -- snapshots

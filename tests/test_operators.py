@@ -70,6 +70,17 @@ def test_search_table_has_a_bound(spark):
         search.search_table(many, many, 1)
 
 
+def test_search_blocks_takes_any_number_of_queries(spark):
+    codes = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id")).alias("code"))
+    asked = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.col("id") % 40).alias("query"))
+    got = search.search_blocks(asked, codes, 1).select("query_id", "vec_id", "dist", "rank").collect()
+    # code 0 is unfilled: its queries find the least code that is one bit away
+    assert sorted(tuple(r) for r in got) == [(k, k % 40 or 1, int(k % 40 == 0), 1) for k in range(10_001)]
+    few = asked.where("query_id < 100")
+    key = lambda t: sorted(tuple(r) for r in t.select("query_id", "vec_id", "dist", "rank").collect())
+    assert key(search.search_blocks(few, codes, 3, 30)) == key(search.search_table(few, codes, 3))
+
+
 # -- paths
 
 
