@@ -27,6 +27,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than this share of the rows, and more rows than a task minds, are
+#: joined by a list sent to all tasks; the share bounds the list by its inverse.
+HOT_SHARE, HOT_ROWS = 1e-4, 100_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of rows with facts, of which each key has one, without a task for
+    one key: ``weight`` says how many rows a key has, ``total`` how many there are.
+
+    Hot keys (10,000 at most, whatever the tables hold) are sent to all tasks, so
+    their rows stay where they are; all others are joined by sorting, and everything
+    is where no key is hot.  Null keys join with nothing.
+    """
+    many, bound = facts.hint("merge"), max(total * HOT_SHARE, HOT_ROWS)
+    hot = F.col(weight) > bound
+    if total <= bound or not facts.where(hot).limit(1).count():
+        return rows.join(many, key)
+    few = facts.where(hot)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many.where(~hot), key))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, so others can't clash."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

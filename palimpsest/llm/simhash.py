@@ -18,18 +18,24 @@ whose pairs are separate groups.  Groups give counts and the edges of a spanning
 forest, never their pairs.
 
 Texts without words go by their marks.  Null, empty and blank texts link with nothing and stand alone; rows with
-equal ids are separate documents; an empty table gives no rows; other columns are
-ignored by ``near_duplicates`` and kept by ``keep_one``.
+equal ids or null ids are separate documents, repeated rows are copies; each class
+keeps one row, that of the least id (null ids come last; of rows with equal ids that
+of the least code, then any).  A class of null ids has a null class_id.  An empty
+table gives no rows; other columns are ignored by ``near_duplicates`` and kept by
+``keep_one``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import id_and_text, map_arrow, slices, text_bytes, written
+from .common import id_and_text, map_arrow, slices, spread_join, text_bytes, written
 from .graph import components
 from .words import WORD, mix, tokens
 
@@ -312,22 +318,27 @@ def _search(masks: np.ndarray, radius: int, search: str):
     return run
 
 
+def _packed(text: pa.Array) -> pa.Array:
+    code, some = codes(*text_bytes(text))
+    return pa.array([c.tobytes() if s else None for c, s in zip(code, some.tolist())], pa.binary())
+
+
 def code_table(docs: DataFrame) -> DataFrame:
     """doc_id and code (null: blank) of every whole text."""
 
     def run(batch: pa.RecordBatch):
         for a, b in slices(batch.column(1)):
-            code, some = codes(*text_bytes(batch.column(1).slice(a, b - a)))
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([c.tobytes() if s else None for c, s in zip(code, some.tolist())], pa.binary())], ["doc_id", "code"])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), _packed(batch.column(1).slice(a, b - a))], ["doc_id", "code"])
 
     return map_arrow(id_and_text(docs), run, "doc_id long, code binary")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, search: str = "scan") -> DataFrame:
-    """One row per document: doc_id, n_links (other documents linked to it
-    directly), class_id (least id that links reach, itself included), kept."""
-    table = written(code_table(docs), "codes")
-    nodes = written(table.where("code is not null").groupBy("code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("code")), "code-nodes")
+def _classes(table: DataFrame, radius: int, search: str) -> DataFrame:
+    """doc_id, row, n_links, class_id and kept of a written table of doc_id, row (no
+    two alike) and code."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    # ids are given when the nodes are written, so no two nodes can share one
+    nodes = written(table.where("code is not null").groupBy("code").agg(first, F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "code-nodes")
     masks = samples(nodes.count(), radius)
     block = (4 if search == "scan" else 2) * SHARD
 
@@ -348,12 +359,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, search: str = "scan")
     keys = ["sample", "shard", "pair"]
     found = written(pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(masks, radius, search), "id long, links long, root long"), "code-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.select("id", "root"), "id", "root")
-    named = nodes.select("id", "code", "rep", "n")
-    least = named.join(joined, "id").groupBy("component").agg(F.min("rep").alias("least"))
-    group = named.join(links, "id", "left").join(joined, "id", "left").join(least, "component", "left").select("code", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("least", "rep").alias("least"))
-    out = table.join(group, "code", "left").select("doc_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    own = F.struct("first.unnamed", "first.doc_id", "code", "first.row").alias("own")
+    # only linked nodes have a component; the rest are their own
+    linked = written(links.join(components(found.select("id", "root"), "id", "root"), "id").join(nodes.select("id", own), "id"), "linked-nodes")
+    least = linked.groupBy("component").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("size"))
+    named = spread_join(linked.select("id", "links", "component"), least, "component", "size", linked.count()).select("id", "links", "least")
+    facts = nodes.select("id", "code", "n", own).join(named.hint("merge"), "id", "left").select("code", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "own").alias("least"))
+    facts = written(facts.select("code", "n", (F.col("n") - 1 + F.col("links")).cast("long").alias("n_links"), F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("stays")), "code-classes")
+    rows = table.select("doc_id", "row", "code")
+    out = spread_join(rows, facts, "code", "n", table.count()).select("doc_id", "row", "n_links", "class_id", (F.col("row") == F.col("stays")).alias("kept"))
+    blank = rows.where("code is null").select("doc_id", "row", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return out.unionByName(blank)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, search: str = "scan") -> DataFrame:
+    """One row per document: doc_id, n_links (other documents linked to it
+    directly), class_id (least id that links reach, itself included), kept (one row
+    of each class)."""
+    table = written(code_table(docs).withColumn("row", F.monotonically_increasing_id()), "codes")
+    return _classes(table, radius, search).drop("row")
 
 
 def op9_simhash_dedup(docs: DataFrame) -> DataFrame:
@@ -361,11 +385,26 @@ def op9_simhash_dedup(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns: the least id of each class.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: one of each class.
 
-    The join is by sorting at every size: the list of ids to go grows with the
-    corpus, so a plan that sends it to all tasks would only hold for small ones.
+    Rows are numbered when they are written beside their codes, and leave by that
+    number, so equal ids, null ids and repeated rows are told apart and no key is
+    crowded.  The join is by sorting at every size: the list of rows to go grows with
+    the corpus, so a plan that sends it to all tasks would only hold for small ones.
     """
-    gone = written(near_duplicates(docs), "classes").where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    row, code = (f"{name}_{uuid.uuid4().hex}" for name in ("row", "code"))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(at).cast(pa.string())
+            for a, b in slices(text):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, _packed(text.slice(a, b - a))], [*batch.schema.names, code])
+
+    schema = StructType([*numbered.schema.fields, StructField(code, BinaryType())])
+    coded = written(numbered.mapInArrow(run, schema), "coded")
+    table = coded.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(row).alias("row"), F.col(code).alias("code"))
+    gone = _classes(table, RADIUS, "scan").where("not kept").select(F.col("row").alias(row))
+    return coded.join(gone.hint("merge"), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

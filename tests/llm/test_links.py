@@ -161,7 +161,52 @@ def test_text_edges(odd_docs, no_docs):
     assert all(by[i].n_links == 0 and by[i].kept for i in (0, 1, 2, 3, 17))
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in got if r.kept or r.doc_id is None}
+    names = lambda found: sorted((r.doc_id for r in found), key=lambda i: (i is None, i))
+    assert kept.columns == odd_docs.columns and names(kept.select("doc_id").collect()) == names(r for r in got if r.kept)
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_equal_and_null_ids_are_told_apart(spark):
+    """One row of each class stays, whatever the ids: as multisets of whole rows."""
+    rng = random.Random(11)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    near = b + " x"
+    rows = [(1, a), (2, a), (2, b), (3, near), (7, c), (7, c), (None, d), (None, d), (None, a), (9, None), (9, None), (None, ""), (12, a.upper())]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(table).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (7, c), (None, d), (9, None), (9, None), (None, "")], key=str)
+    found = simhash.near_duplicates(table).collect()
+    by = sorted(((r.doc_id, r.n_links, r.class_id, r.kept) for r in found), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 1, 2, True), (3, 1, 2, False), (7, 1, 7, True), (7, 1, 7, False), (None, 1, None, True), (None, 1, None, False), (None, 3, 1, False), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, True), (12, 3, 1, False)]
+    assert by == sorted(want, key=str)
+    # rows that differ in other columns only: one of them, in one piece
+    other = spark.createDataFrame([(5, a, "u"), (5, a, "v"), (4, b, "w")], "doc_id long, text string, row string")
+    assert sorted((r.doc_id, r.row in ("u", "v")) for r in simhash.keep_one(other).collect()) == [(4, False), (5, True)]
+
+
+def test_hot_keys_join_in_full(spark, monkeypatch):
+    """A key of half of the rows, null keys, and keys on both sides of the bound."""
+    from palimpsest.llm import common
+
+    rows = spark.createDataFrame([(k, 0 if k % 2 else k % 50 if k % 3 else None) for k in range(2000)], "row long, key long")
+    facts = rows.where("key is not null").groupBy("key").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    for share in (0.0, 0.01, 2.0):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        monkeypatch.setattr(common, "HOT_ROWS", 0)
+        got = common.spread_join(rows, facts, "key", "n", 2000).collect()
+        assert sorted(r.row for r in got) == [k for k in range(2000) if k % 2 or k % 3]
+        assert all(r.n == sum(g.key == r.key for g in got) for r in got[::97])
+
+
+@pytest.mark.parametrize("hot", [0.01, 2.0])
+def test_components_of_a_hub(spark, monkeypatch, hot):
+    from palimpsest.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
+    pairs = [(5, 10 + k) for k in range(3000)] + [(10 + k, 11 + k) for k in range(0, 3000, 7)] + [(4000, 4001)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{k: 5 for p in pairs[:-1] for k in p}, 4000: 4000, 4001: 4000}
 
 
 def test_small_world_finds_clusters():
