@@ -5,9 +5,12 @@ nested boxes of any such file, decodes the sample tables and gives codec,
 duration and the byte ranges of key frames.  Payloads are never decoded: only
 ``samples`` touches them, to hand back the stored bytes.
 
-A null container or one that is no ISO media file gives a null track list and an
-error; a null text is an empty payload; an empty table gives no rows; repeated
-rows give repeated rows; other columns are ignored.
+Fragments (``moof``) are read like tables.  Every byte string gives rows or an error:
+counts are held against the size of their box and of the file before anything is
+allocated, so memory stays within a few times the file's size.  A null container or
+one that is no ISO media file gives one row of nulls with an error; a null text is an
+empty payload; an empty table gives no rows; repeated rows give repeated rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +37,11 @@ def _box(kind: bytes, *parts: bytes) -> bytes:
     return struct.pack(">I4s", len(body) + 8, kind) + body
 
 
-def container(payload: bytes) -> bytes:
-    """One sound track of unsigned 8-bit samples; the length is a multiple of FRAME."""
+def container(payload: bytes, wide: bool = False) -> bytes:
+    """One sound track of unsigned 8-bit samples; the length is a multiple of FRAME.
+
+    Offsets, durations and the payload's box have 64 bits where 32 are too few (or
+    if ``wide``)."""
     frames = len(payload) // FRAME
     if frames * FRAME != len(payload):
         raise ValueError("the payload is no whole number of frames")
@@ -43,11 +49,15 @@ def container(payload: bytes) -> bytes:
     length = frames * FRAME
     full = struct.pack(">I", 0)
     head = _box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2")
+    wide = wide or length + 16 + len(head) >= 1 << 32
     first = [(1, CHUNK)] if frames % CHUNK == 0 else [(1, CHUNK), (chunks, frames % CHUNK)] if chunks > 1 else [(1, frames)]
     if not frames:
         first = []
     keys = np.arange(chunks, dtype=np.int64) * CHUNK + 1
     sound = _box(b"raw ", b"\0" * 6, struct.pack(">H", 1), b"\0" * 8, struct.pack(">HHHHI", 1, 8, 0, 0, RATE << 16))
+    version = struct.pack(">I", wide << 24)
+    # times made and changed, then what is between them and the duration
+    times = lambda *middle: struct.pack(f">{'QQ' if wide else 'II'}{len(middle)}I{'Q' if wide else 'I'}", 0, 0, *middle, length)
 
     def tail(offsets: np.ndarray) -> bytes:
         table = _box(
@@ -56,19 +66,17 @@ def container(payload: bytes) -> bytes:
             _box(b"stts", full, struct.pack(">III", 1, frames, FRAME)),
             _box(b"stsc", full, struct.pack(">I", len(first)), *(struct.pack(">III", c, n, 1) for c, n in first)),
             _box(b"stsz", full, struct.pack(">II", FRAME, frames)),
-            _box(b"stco", full, struct.pack(">I", chunks), offsets.astype(">u4").tobytes()),
+            _box(b"co64" if wide else b"stco", full, struct.pack(">I", chunks), offsets.astype(">u8" if wide else ">u4").tobytes()),
             _box(b"stss", full, struct.pack(">I", chunks), keys.astype(">u4").tobytes()),
         )
         info = _box(b"minf", _box(b"smhd", full, b"\0" * 4), _box(b"dinf", _box(b"dref", full, struct.pack(">I", 1), _box(b"url ", struct.pack(">I", 1)))), table)
-        media = _box(b"mdia", _box(b"mdhd", full, struct.pack(">IIIIHH", 0, 0, RATE, length, 0x55C4, 0)), _box(b"hdlr", full, b"\0" * 4, b"soun", b"\0" * 13), info)
-        track = _box(b"trak", _box(b"tkhd", struct.pack(">I", 7), struct.pack(">IIIII", 0, 0, 1, 0, length), b"\0" * 8, struct.pack(">HHHH", 0, 0, 256, 0), _UNITY, struct.pack(">II", 0, 0)), media)
-        return _box(b"moov", _box(b"mvhd", full, struct.pack(">IIIIIH", 0, 0, RATE, length, 0x10000, 256), b"\0" * 10, _UNITY, b"\0" * 24, struct.pack(">I", 2)), track)
+        media = _box(b"mdia", _box(b"mdhd", version, times(RATE), struct.pack(">HH", 0x55C4, 0)), _box(b"hdlr", full, b"\0" * 4, b"soun", b"\0" * 13), info)
+        track = _box(b"trak", _box(b"tkhd", struct.pack(">I", wide << 24 | 7), times(1, 0), b"\0" * 8, struct.pack(">HHHH", 0, 0, 256, 0), _UNITY, struct.pack(">II", 0, 0)), media)
+        return _box(b"moov", _box(b"mvhd", version, times(RATE), struct.pack(">IH", 0x10000, 256), b"\0" * 10, _UNITY, b"\0" * 24, struct.pack(">I", 2)), track)
 
-    if length + 16 + len(head) >= 1 << 32:
-        raise ValueError("the payload needs 64-bit offsets")
-    begin = len(head) + 8
-    offsets = begin + np.arange(chunks, dtype=np.int64) * FRAME * CHUNK
-    return head + struct.pack(">I4s", length + 8, b"mdat") + payload + tail(offsets)
+    data = struct.pack(">I4sQ", 1, b"mdat", length + 16) if wide else struct.pack(">I4s", length + 8, b"mdat")
+    offsets = len(head) + len(data) + np.arange(chunks, dtype=np.int64) * FRAME * CHUNK
+    return b"".join([head, data, payload, tail(offsets)])
 
 
 @dataclass
@@ -81,17 +89,21 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    end: int = 0
 
 
 def boxes(data: memoryview, begin: int, end: int):
-    """(kind, body's begin, body's end) of the boxes in a range."""
+    """(kind, body's begin, body's end) of the boxes in a range; zeros too few for a
+    box may close it."""
     while begin < end:
         if end - begin < 8:
-            raise ValueError(f"{end - begin} stray bytes at {begin}")
+            if any(data[begin:end]):
+                raise ValueError(f"{end - begin} stray bytes at {begin}")
+            return
         size, kind = struct.unpack_from(">I4s", data, begin)
         body = begin + 8
         if size == 1:
-            (size,) = struct.unpack_from(">Q", data, body)
+            (size,) = _fields(data, body, end, ">Q")
             body += 8
         elif size == 0:
             size = end - begin
@@ -101,76 +113,185 @@ def boxes(data: memoryview, begin: int, end: int):
         begin += size
 
 
+def _fields(data: memoryview, at: int, end: int, form: str) -> tuple:
+    if at + struct.calcsize(form) > end:
+        raise ValueError("a field leaves its box")
+    return struct.unpack_from(form, data, at)
+
+
 def _table(data: memoryview, body: int, end: int, width: int, kind: str = ">u4", skip: int = 4) -> np.ndarray:
-    (n,) = struct.unpack_from(">I", data, body + skip)
+    (n,) = _fields(data, body + skip, end, ">I")
     size = n * width * np.dtype(kind).itemsize
     if body + skip + 4 + size > end:
         raise ValueError("a table leaves its box")
     return np.frombuffer(data, kind, n * width, body + skip + 4).astype(np.int64).reshape(n, width)
 
 
+def _sizes(data: memoryview, body: int, end: int) -> np.ndarray:
+    """Sample sizes: one for all, or a table."""
+    each, n = _fields(data, body + 4, end, ">II")
+    if not each:
+        return _table(data, body, end, 1, skip=8)[:, 0]
+    if n * each > len(data):
+        raise ValueError("the samples are larger than the file")
+    return np.full(n, each, np.int64)
+
+
+def _compact_sizes(data: memoryview, body: int, end: int) -> np.ndarray:
+    """Sample sizes of 4, 8 or 16 bits each."""
+    width, n = _fields(data, body + 7, end, ">BI")
+    if width not in (4, 8, 16):
+        raise ValueError(f"sample sizes of {width} bits")
+    if body + 12 + (n * width + 7) // 8 > end:
+        raise ValueError("a table leaves its box")
+    if width == 4:
+        pair = np.frombuffer(data, np.uint8, (n + 1) // 2, body + 12)
+        return np.stack([pair >> 4, pair & 15], 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, f">u{width // 8}", n, body + 12).astype(np.int64)
+
+
+#: What a fragment's header or run may give: (its flag, the name it has here).
+_DEFAULTS = ((0x8, "step"), (0x10, "size"), (0x20, "flags"))
+_EACH = ((0x100, "step"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+
+
 def probe(media: bytes) -> list[Track]:
     """Tracks of an ISO media file; ValueError if it is none."""
     data = memoryview(media)
     tracks: list[Track] = []
     raw: list[dict] = []
+    defaults: dict[int, dict] = {}
+    runs: list[tuple] = []
+    now: dict = {}
 
-    def walk(begin: int, end: int, depth: int) -> None:
+    def walk(begin: int, end: int, depth: int, parent: bytes) -> None:
         if depth > 16:
             raise ValueError("boxes nest too deeply")
         for kind, body, stop in boxes(data, begin, end):
             if kind == b"trak":
                 tracks.append(Track())
                 raw.append({})
+            elif kind == b"moof":
+                now["moof"] = body - 8
+            elif kind == b"traf":
+                now["traf"] = None
             if kind in _NESTED:
-                walk(body, stop, depth + 1)
+                walk(body, stop, depth + 1, kind)
+            elif kind == b"trex":
+                track, _, *values = _fields(data, body + 4, stop, ">5I")
+                defaults[track] = dict(zip(("step", "size", "flags"), values))
+            elif kind == b"tfhd" and parent == b"traf":
+                flags, track = _fields(data, body, stop, ">II")
+                at = body + 8
+                base = now["moof"]
+                if flags & 1:
+                    (base,) = _fields(data, at, stop, ">Q")
+                    at += 8
+                at += 4 * (flags >> 1 & 1)
+                given = dict(defaults.get(track, {}))
+                for bit, name in _DEFAULTS:
+                    if flags & bit:
+                        (given[name],) = _fields(data, at, stop, ">I")
+                        at += 4
+                now["traf"] = {"track": track, "base": base, "next": base, **given}
+            elif kind == b"trun" and parent == b"traf":
+                if now.get("traf") is None:
+                    raise ValueError("a run without a fragment header")
+                runs.append(_run(data, body, stop, now["traf"], len(data)))
             elif not tracks:
                 continue
+            elif kind == b"tkhd" and parent == b"trak":
+                long = _fields(data, body, stop, ">B")[0] == 1
+                (raw[-1]["id"],) = _fields(data, body + (20 if long else 12), stop, ">I")
             elif kind == b"mdhd":
-                long = data[body] == 1
-                tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if long else ">II", data, body + (20 if long else 12))
-            elif kind == b"hdlr":
-                tracks[-1].kind = bytes(data[body + 8 : body + 12]).decode("latin1")
+                long = _fields(data, body, stop, ">B")[0] == 1
+                tracks[-1].timescale, tracks[-1].duration = _fields(data, body + (20 if long else 12), stop, ">IQ" if long else ">II")
+            elif kind == b"hdlr" and parent == b"mdia":
+                tracks[-1].kind = _fields(data, body + 8, stop, ">4s")[0].decode("latin1")
             elif kind == b"stsd":
                 tracks[-1].codec = next((k.decode("latin1") for k, _, _ in boxes(data, body + 8, stop)), "")
-            elif kind in (b"stts", b"ctts"):
+            elif kind == b"stts":
                 raw[-1][kind] = _table(data, body, stop, 2)
             elif kind == b"stsc":
                 raw[-1][kind] = _table(data, body, stop, 3)
             elif kind == b"stco":
                 raw[-1][kind] = _table(data, body, stop, 1)[:, 0]
             elif kind == b"co64":
-                raw[-1][b"stco"] = _table(data, body, stop, 1, ">u8")[:, 0]
+                offsets = _table(data, body, stop, 1, ">u8")[:, 0]
+                if (offsets < 0).any():
+                    raise ValueError("an offset lies beyond any file")
+                raw[-1][b"stco"] = offsets
             elif kind == b"stss":
                 raw[-1][kind] = _table(data, body, stop, 1)[:, 0]
             elif kind == b"stsz":
-                each, n = struct.unpack_from(">II", data, body + 4)
-                raw[-1][kind] = np.full(n, each, np.int64) if each else _table(data, body, stop, 1, skip=8)[:, 0]
+                raw[-1][kind] = _sizes(data, body, stop)
+            elif kind == b"stz2":
+                raw[-1][b"stsz"] = _compact_sizes(data, body, stop)
 
-    walk(0, len(data), 0)
+    walk(0, len(data), 0, b"")
     if not tracks:
         raise ValueError("no track")
     for track, t in zip(tracks, raw):
         _resolve(track, t)
+        mine = [r for k, *r in runs if k == t.get("id")]
+        if mine:
+            _append(track, mine)
     return tracks
 
 
+def _run(data: memoryview, body: int, stop: int, header: dict, most: int) -> tuple:
+    """(track, offsets, sizes, steps, whether key) of a fragment's run of samples."""
+    flags, n = _fields(data, body, stop, ">II")
+    flags, at, begin, opening = flags & 0xFFFFFF, body + 8, header["next"], None
+    if flags & 1:
+        (move,) = _fields(data, at, stop, ">i")
+        begin, at = header["base"] + move, at + 4
+    if flags & 4:
+        (opening,) = _fields(data, at, stop, ">I")
+        at += 4
+    names = [name for bit, name in _EACH if flags & bit]
+    if n > most or at + 4 * n * len(names) > stop:
+        raise ValueError("a run leaves its box")
+    table = np.frombuffer(data, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names))
+    column = lambda name: table[:, names.index(name)].copy() if name in names else np.full(n, header.get(name, 0), np.int64)
+    sizes, marks = column("size"), column("flags")
+    if n and opening is not None:
+        marks[0] = opening
+    ends = begin + np.cumsum(sizes)
+    header["next"] = int(ends[-1]) if n else begin
+    if begin < 0 or header["next"] > most:
+        raise ValueError("a run lies beyond the file")
+    return header["track"], ends - sizes, sizes, column("step"), (marks & 0x10000) == 0
+
+
+def _append(track: Track, runs: list[tuple]) -> None:
+    """Samples of fragments after those of the tables."""
+    offsets, sizes, steps, keys = (np.concatenate(c) for c in zip(*runs))
+    known = len(track.sizes)
+    begin = track.end if len(track.times) == known else 0
+    track.keys = np.concatenate([track.keys, known + np.flatnonzero(keys)])
+    track.times = np.concatenate([track.times, begin + np.cumsum(steps) - steps])
+    track.offsets, track.sizes = np.concatenate([track.offsets, offsets]), np.concatenate([track.sizes, sizes])
+
+
 def _resolve(track: Track, t: dict) -> None:
     """Sample offsets, times and key frames from a track's tables."""
     sizes, chunks = t.get(b"stsz", np.zeros(0, np.int64)), t.get(b"stco", np.zeros(0, np.int64))
     runs = t.get(b"stsc", np.zeros((0, 3), np.int64))
     n = len(sizes)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
-    if per_chunk.sum() != n or len(per_chunk) != len(chunks):
+    spread = np.diff(np.append(runs[:, 0], len(chunks) + 1)) if len(runs) else np.zeros(0, np.int64)
+    if (spread < 0).any() or spread.sum() != len(chunks) or len(runs) and runs[0, 0] != 1 or (spread * runs[:, 1]).sum() != n:
         raise ValueError("the sample tables disagree")
+    per_chunk = np.repeat(runs[:, 1], spread)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     first = np.cumsum(per_chunk) - per_chunk
     owner = np.repeat(np.arange(len(chunks)), per_chunk)
     track.sizes, track.offsets = sizes, chunks[owner] + begins - begins[first[owner]] if n else begins
     spans = t.get(b"stts", np.zeros((0, 2), np.int64))
-    steps = np.repeat(spans[:, 1], spans[:, 0])[:n]
-    track.times = np.cumsum(steps) - steps
+    before = np.cumsum(spans[:, 0]) - spans[:, 0]
+    steps = np.repeat(spans[:, 1], np.clip(n - before, 0, spans[:, 0]))
+    track.times, track.end = np.cumsum(steps) - steps, int(steps.sum())
     keys = t[b"stss"] - 1 if b"stss" in t else np.arange(n)
     if len(keys) and (keys.min() < 0 or keys.max() >= n):
         raise ValueError("a key frame lies beyond the samples")
@@ -182,7 +303,7 @@ def samples(media: bytes, track: Track) -> bytes:
     if not len(track.sizes):
         return b""
     ends = track.offsets + track.sizes
-    if int(ends.max()) > len(media):
+    if min(track.offsets.min(), ends.min()) < 0 or max(track.offsets.max(), ends.max()) > len(media):
         raise ValueError("a sample lies beyond the file")
     cut = np.flatnonzero(track.offsets[1:] != ends[:-1]) + 1
     begin, end = track.offsets[np.append(0, cut)].tolist(), ends[np.append(cut - 1, len(ends) - 1)].tolist()
@@ -206,7 +327,7 @@ def probe_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             try:
                 tracks = probe(data or b"")
-            except (ValueError, struct.error) as e:
+            except (ValueError, struct.error, LookupError, ArithmeticError, MemoryError) as e:
                 rows.append((key, None, None, None, None, None, None, str(e)))
                 continue
             for k, t in enumerate(tracks):

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -38,7 +39,98 @@ def test_other_layouts():
     assert media.samples(stored, track) == data
 
 
-@pytest.mark.parametrize("bad", [b"", b"1234567", b"\0\0\0\x04abcd", media.container(b"\1" * 128)[:-9], b"\xff" * 64])
+FULL = struct.pack(">I", 0)
+
+
+def a_file(*tables, mdhd=struct.pack(">IIIIHH", 0, 0, 8000, 5, 0, 0), extra=b"", data=b"abcde"):
+    box = media._box
+    media_box = box(b"mdia", box(b"mdhd", FULL[: len(mdhd)], mdhd), box(b"hdlr", FULL * 2, b"soun"), box(b"minf", box(b"hdlr", FULL * 2, b"url "), box(b"stbl", *tables)))
+    return box(b"mdat", data) + box(b"moov", box(b"trak", box(b"tkhd", struct.pack(">I4I", 7, 0, 0, 1, 0)), media_box), extra)
+
+
+def test_wide_containers():
+    for frames in (0, 1, 16, 33):
+        payload = bytes(range(64)) * frames
+        stored = media.container(payload, wide=True)
+        (track,) = media.probe(stored)
+        assert (track.codec, track.timescale, track.duration) == ("raw ", 8000, len(payload)) and media.samples(stored, track) == payload
+        assert b"co64" in stored and b"stco" not in stored
+
+
+def test_compact_sizes_terminators_and_data_handlers():
+    stsc, stco = media._box(b"stsc", FULL, struct.pack(">4I", 1, 1, 3, 1)), media._box(b"stco", FULL, struct.pack(">2I", 1, 8))
+    for width, packed in ((4, bytes([0x21, 0x20])), (8, bytes([2, 1, 2])), (16, struct.pack(">3H", 2, 1, 2))):
+        stored = a_file(media._box(b"stz2", FULL, b"\0\0\0", bytes([width]), struct.pack(">I", 3), packed), stsc, stco, extra=media._box(b"udta", media._box(b"name", b"x"), FULL))
+        (track,) = media.probe(stored)
+        assert track.sizes.tolist() == [2, 1, 2] and media.samples(stored, track) == b"abcde" and track.kind == "soun"
+
+
+def test_fragments():
+    box = media._box
+    tables = (box(b"stsz", FULL, struct.pack(">2I", 0, 0)), box(b"stsc", FULL, FULL), box(b"stco", FULL, FULL))
+    head = a_file(*tables, extra=box(b"mvex", box(b"trex", struct.pack(">6I", 0, 1, 1, 10, 2, 0x10000))), data=b"")
+
+    def fragment(tfhd, trun):
+        moof = lambda at: box(b"moof", box(b"mfhd", FULL * 2), box(b"traf", box(b"tfhd", tfhd), box(b"trun", trun(at))))
+        return moof(len(moof(0)) + 8)
+
+    # sizes and a first key frame by the run; then all by the defaults
+    one = fragment(struct.pack(">2I", 0x20000, 1), lambda at: struct.pack(">IIiI3I", 0x205, 3, at, 0, 1, 2, 3)) + box(b"mdat", b"abbccc")
+    two = fragment(struct.pack(">3I", 0x20008, 1, 7), lambda at: struct.pack(">IIi", 1, 2, at)) + box(b"mdat", b"ddee")
+    stored = head + one + two
+    (track,) = media.probe(stored)
+    assert track.sizes.tolist() == [1, 2, 3, 2, 2] and track.keys.tolist() == [0]
+    assert track.times.tolist() == [0, 10, 20, 30, 37] and media.samples(stored, track) == b"abbcccddee"
+
+
+HOSTILE = [
+    a_file(mdhd=b""),
+    a_file(media._box(b"stsz", FULL, struct.pack(">2I", 1, 0xFFFFFFFF))),
+    a_file(media._box(b"stsz", FULL, struct.pack(">2I", 0, 0xFFFFFFFF))),
+    a_file(media._box(b"stz2", FULL, b"\0\0\0\x04", struct.pack(">I", 0xFFFFFFFF))),
+    a_file(media._box(b"stts", FULL, struct.pack(">3I", 1, 0xFFFFFFFF, 1)), media._box(b"stsz", FULL, struct.pack(">2I", 5, 1)), media._box(b"stsc", FULL, struct.pack(">4I", 1, 1, 0xFFFFFFFF, 1)), media._box(b"stco", FULL, struct.pack(">2I", 1, 8))),
+    a_file(media._box(b"co64", FULL, struct.pack(">IQ", 1, (1 << 64) - 1))),
+    a_file(extra=media._box(b"moof", media._box(b"traf", media._box(b"tfhd", FULL, struct.pack(">I", 1)), media._box(b"trun", struct.pack(">2I", 0, 0xFFFFFFFF))))),
+    a_file(extra=media._box(b"moof", media._box(b"traf", media._box(b"trun", struct.pack(">2I", 0, 1))))),
+]
+
+
+def bounded(data):
+    """probe() with its memory held against the file's size; None for an error."""
+    tracemalloc.start()
+    try:
+        return [(t, media.samples(data, t)) for t in media.probe(data)]
+    except (ValueError, struct.error):
+        return None
+    finally:
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200_000 + 200 * len(data)
+
+
+def test_a_run_of_times_beyond_the_samples_is_cut():
+    data = a_file(media._box(b"stts", FULL, struct.pack(">3I", 1, 0xFFFFFFFF, 3)), media._box(b"stsz", FULL, struct.pack(">2I", 1, 5)), media._box(b"stsc", FULL, struct.pack(">4I", 1, 1, 5, 1)), media._box(b"stco", FULL, struct.pack(">2I", 1, 8)))
+    ((track, stored),) = bounded(data)
+    assert track.times.tolist() == [0, 3, 6, 9, 12] and stored == b"abcde"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from([media.container(b"\1" * 1088), media.container(b"\2" * 64, True), *HOSTILE]), st.lists(st.tuples(st.integers(0, 2000), st.sampled_from([b"\0", b"\xff" * 4, b"\0\0\0\1", b"\x7f", b"trun", b"stsz", b"moof", b"mdhd"])), max_size=6), st.integers(0, 2000))
+def test_any_bytes_give_tracks_or_an_error(data, edits, cut):
+    data = bytearray(data)
+    for at, new in edits:
+        at %= len(data)
+        data[at : at + len(new)] = new
+    bounded(bytes(data[: max(8, len(data) - cut % 40)]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=300))
+def test_noise_gives_tracks_or_an_error(data):
+    bounded(data)
+
+
+@pytest.mark.parametrize("bad", [*HOSTILE, b"", b"1234567", b"\0\0\0\x04abcd", media.container(b"\1" * 128)[:-9], b"\xff" * 64])
 def test_malformed(bad, spark):
     with pytest.raises((ValueError, struct.error)):
         media.probe(bad)
