@@ -1,11 +1,17 @@
 """Quality, toxicity and language: edge cases, defined results, held-out accuracy."""
 
+import math
 import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import language, quality, toxicity
 from palimpsest.llm.common import text_bytes
@@ -44,8 +50,6 @@ def test_language_held_out(tables):
 
 
 def test_language_does_not_see_held_out_labels(tables):
-    from pyspark.sql import functions as F
-
     docs, _ = tables
     wrong = docs.withColumn("lang", F.when(language.held_out(), F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
     a = {tuple(r) for r in language.op8_language(docs).collect()}
@@ -122,15 +126,117 @@ def test_quality_counts_by_brute_force(spark, odd_docs):
     assert (got == want).all()
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h ^= h >> 31
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 29
+    return h * 0x94D049BB133111EB & M64
+
+
+def plain_grams(text, bits=16):
+    """Buckets of both tracks, with loops over tokens, from the module's description."""
+    found = [m.group() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode())]
+    h = [hash_word(t.decode()) for t in found]
+    shape = []
+    for i, t in enumerate(found):
+        word = t[:1].isalnum() or t[0] >= 128
+        repeat = word and (h[i] in h[max(0, i - 2) : i])
+        shape.append(77 if repeat else min((len(t) + 3) // 4, 9) if word else h[i])
+    out = [[], []]
+
+    def add(track, value, seed):
+        out[track].append(plain_mix((value & M64) ^ (seed * 0x9E3779B97F4A7C15 & M64)) >> (64 - bits))
+
+    for i in range(len(found)):
+        add(0, h[i], 1)
+        add(1, shape[i], 3)
+        if i:
+            add(0, plain_mix(h[i]) + h[i - 1], 2)
+            two = plain_mix(shape[i] + 1 & M64) + shape[i - 1] & M64
+            add(1, two, 4)
+            if i > 1:
+                add(1, plain_mix(two) + shape[i - 2], 5)
+    return out
+
+
+def plain_noise(doc_id, text):
+    seed = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    seed = seed if text is None else xxhash.xxh64_intdigest(text.encode(), seed)
+    u = (xxhash.xxh64_intdigest(struct.pack("<i", 17), seed) % (1 << 52) + 0.5) / (1 << 52)
+    return -math.log(-math.log(u))
+
+
+def test_quality_weights_and_draw_by_brute_force(spark, odd_docs, tables):
+    """Weights, noise and the k drawn, recounted with plain loops."""
+    docs = tables[0].select("doc_id", "text").where("doc_id < 120").unionByName(odd_docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    labels = spark.createDataFrame([(k, k % 3 != 0) for k in range(0, 120, 2)], "doc_id long, good boolean").selectExpr("doc_id", "int(good) AS quality")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    good = {k for k in range(0, 120, 2) if k % 3}
+    raw, target = [Counter(), Counter()], [Counter(), Counter()]
+    grams = [plain_grams(t) for _, t in rows]
+    for (i, _), g in zip(rows, grams):
+        for k in (0, 1):
+            raw[k].update(g[k])
+            if i in good:
+                target[k].update(g[k])
+    share = [target[k].total() / raw[k].total() for k in (0, 1)]
+    ratio = lambda k, b: math.log((target[k][b] + 10) / ((max(raw[k][b] - 1, 0)) * share[k] + 10))
+    weights = [sum(ratio(k, b) for k in (0, 1) for b in g[k]) if g[0] else None for g in grams]
+    keys = [None if w is None else w + plain_noise(*r) for w, r in zip(weights, rows)]
+    order = sorted((k for k in keys if k is not None), reverse=True)
+    for size in (None, 7, 60, 10_000):
+        k = size or sum(w is not None and w >= 0 for w in weights)
+        least = order[min(k, len(order)) - 1]
+        want = sorted(((i, t, w, x, x is not None and x >= least) for (i, t), w, x in zip(rows, weights, keys)), key=str)
+        found = quality.op4_quality(docs, labels, size).join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+        got = sorted({(r.doc_id, r.text, r.log_weight, r.gumbel_key, r.kept) for r in found.collect()}, key=str)
+        want = [w for k, w in enumerate(want) if not k or w[:2] != want[k - 1][:2]]
+        assert [(g[0], g[4]) for g in got] == [(w[0], w[4]) for w in want]
+        for g, w in zip(got, want):
+            assert (g[2] is None) == (w[2] is None) and (g[2] is None or abs(g[2] - w[2]) < 1e-6 * (1 + abs(w[2])) and abs(g[3] - w[3]) < 1e-6 * (1 + abs(w[3])))
+
+
 def test_threshold_is_the_kth_largest(spark):
     rng = random.Random(4)
     for n, ties in ((1, 1), (50, 1), (3000, 1), (400, 40)):
-        rows = [(min(0.0, 1 - rng.random() * 5), rng.random() * 10) for _ in range(n)] * ties
-        weights = spark.createDataFrame(rows, "log_weight double, noise double").repartition(3)
-        k = round(sum(np.exp(w) for w, _ in rows))
-        keys = sorted((w + g + (quality.CERTAIN if w >= 0 else 0.0) for w, g in rows), reverse=True)
-        assert quality.threshold(weights) == (keys[min(k, len(keys)) - 1] if k else float("inf"))
-    assert quality.threshold(weights.limit(0)) == float("inf")
+        rows = [(1 - rng.random() * 5, rng.random() * 10) for _ in range(n)] * ties
+        weights = spark.createDataFrame([*rows, (None, 99.0)], "log_weight double, noise double").repartition(3)
+        for temper, k in ((1.0, None), (2.0, max(1, len(rows) // 3))):
+            keys = sorted((w / temper + g for w, g in rows), reverse=True)
+            want = sum(w >= 0 for w, _ in rows) if k is None else k
+            assert quality.threshold(weights, k, temper) == (keys[want - 1] if want else float("inf"))
+    assert quality.threshold(weights, 10**9) == min(w + g for w, g in rows)
+    assert quality.threshold(weights.limit(0)) == quality.threshold(weights, 0) == float("inf")
+
+
+def test_the_draw_follows_the_weights(spark):
+    """Shares drawn by weight: 1 - exp(-weight / scale), within sampling error."""
+    n, k = 40_000, 9_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), (F.col("id") % 5 - 2.0).alias("log_weight"))
+    weights = rows.select("doc_id", "log_weight", quality._gumbel())
+    least = quality.threshold(weights, k)
+    drawn = dict(weights.where(quality.gumbel_key() >= least).groupBy("log_weight").count().collect())
+    assert sum(drawn.values()) == k
+    for w, count in drawn.items():
+        p = 1 - math.exp(-math.exp(w - least))
+        assert abs(count - p * n / 5) < 4 * math.sqrt(n / 5 * p * (1 - p)), (w, count, p * n / 5)
+    # without replacement, in proportion: the first draws go by the weights themselves
+    first = weights.orderBy(F.desc(quality.gumbel_key())).limit(400).groupBy("log_weight").count().collect()
+    total = sum(math.exp(w) for w in range(-2, 3))
+    assert all(abs(r["count"] - 400 * math.exp(r.log_weight) / total) < 70 for r in first)
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [quality.bucket_bits(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 21, (1 << 21) + 1, 10**10)] == [16, 16, 16, 17, 17, 18, 22]
+    raw, offsets = text_bytes(pa.array(["one two one", "x"]))
+    for bits in (16, 19):
+        for k, (ids, bounds) in enumerate(quality.ngrams(raw, offsets, bits)):
+            assert sorted(ids[: bounds[1]].tolist()) == sorted(plain_grams("one two one", bits)[k])
+        ratio = quality.Ratio(np.ones((2, 1 << bits)))
+        assert ratio.log_weight(raw, offsets).tolist() == [11.0, 2.0]
 
 
 def test_quality_keeps_clean_texts(tables):
@@ -151,9 +257,9 @@ def test_quality_keeps_clean_texts(tables):
 def test_quality_edges(spark, odd_docs, no_docs, tables):
     rows = quality.op4_quality(odd_docs, tables[1]).collect()
     assert len(rows) == odd_docs.count()
-    assert {r.doc_id for r in rows if r.log_weight == quality.NO_TEXT} == {0, 1, 2, 3} and not any(r.kept for r in rows if r.doc_id in (0, 1, 2, 3))
+    assert {r.doc_id for r in rows if r.log_weight is None} == {0, 1, 2, 3} and not any(r.kept for r in rows if r.doc_id in (0, 1, 2, 3))
     assert quality.op4_quality(no_docs, tables[1]).count() == 0
     plain = quality.op4_quality(odd_docs, tables[1].limit(0)).collect()
     assert all(r.kept == (r.doc_id not in (0, 1, 2, 3)) for r in plain)
-    ratio = quality.Ratio(np.zeros((2, quality.BUCKETS)))
+    ratio = quality.Ratio(np.zeros((2, 1 << quality.BITS)))
     assert quality.keep_sampled(odd_docs, ratio, -100.0).columns == odd_docs.columns
