@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import time
+from collections import deque
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -11,10 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import filled
-from ..functions.text import count_tokens
+from ..functions.text import TOKEN, count_tokens
 from .snapshot import is_text
 
 BATCH_INPUTS, BATCH_TOKENS = 128, 110_000
+#: Requests under way at once, and tokens they may hold in a minute.
+CONCURRENT, RATE_TOKENS = 8, 2_800_000
+#: Ids to a group of texts that are packed into requests in their order.
+GROUP_IDS = 256
+_TOKEN = re.compile(TOKEN)
 
 
 class Embedder(Protocol):
@@ -30,16 +38,55 @@ class HashingEmbedder:
         self.dim = dim
 
     def embed_documents(self, texts: list[str]) -> np.ndarray:
-        import zlib
+        import hashlib
 
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
                 row[h % self.dim] += 1 if h & 0x80000000 else -1
         return out
 
 
+class RateLimiter:
+    """Lets a number of tokens pass in any window of seconds; more have to wait.  A
+    request beyond the limit waits for an empty window, then passes alone."""
+
+    def __init__(self, tokens: int, seconds: float = 60.0, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.tokens, self.seconds, self.now, self.sleep = tokens, seconds, now, sleep
+        self.passed: deque[tuple[float, int]] = deque()
+        self.held = 0
+
+    def take(self, tokens: int) -> None:
+        while True:
+            at = self.now()
+            while self.passed and at >= self.passed[0][0] + self.seconds:
+                self.held -= self.passed.popleft()[1]
+            if not self.passed or self.held + tokens <= self.tokens:
+                break
+            # never so little that a clock can't show it
+            self.sleep(max(1e-3, self.passed[0][0] + self.seconds - at))
+        self.passed.append((at, tokens))
+        self.held += tokens
+
+
+class LimitedEmbedder:
+    """Another embedder within a rate.  Each of ``tasks`` tasks that run at once has an
+    equal share of it, so together they keep the rate without talking to each other."""
+
+    def __init__(self, inner: Embedder, tokens: int = RATE_TOKENS, tasks: int = CONCURRENT, seconds: float = 60.0):
+        self.inner, self.share, self.seconds = inner, max(1, tokens // tasks), seconds
+        self.limiter: RateLimiter | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "limiter": None}  # clocks are of one process
+
+    def embed_documents(self, texts: list[str]) -> np.ndarray:
+        self.limiter = self.limiter or RateLimiter(self.share, self.seconds)
+        self.limiter.take(sum(max(1, len(_TOKEN.findall(t))) for t in texts))
+        return self.inner.embed_documents(texts)
+
+
 def embed(rows: DataFrame, embedder: Embedder, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and embedding (array<float>) of each text; a null text is an empty one."""
 
@@ -113,24 +160,16 @@ def batches(rows: list[tuple[int, int]], inputs: int = BATCH_INPUTS, tokens: int
 
 
 def embed_batches(files: DataFrame, inputs: int = BATCH_INPUTS, tokens: int = BATCH_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Requests as each task would send them: task, batch, n_inputs, n_tokens."""
-
-    def run(found):
-        from pyspark import TaskContext
-
-        rows: list[tuple[int, int]] = []
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in found:
-            rows += list(zip(batch.column(1).to_pylist(), batch.column(1).to_pylist()))
-            done = list(batches(rows, inputs, tokens))
-            rows = [(t, t) for t in done.pop()] if done else []
-            yield _requests(task, number, done)
-            number += len(done)
-        yield _requests(task, number, [[t for _, t in rows]] if rows else [])
-
-    return files.select(key, count_tokens(F.col(text)).alias("tokens")).mapInArrow(run, "task int, batch int, n_inputs int, n_tokens long")
-
-
-def _requests(task: int, first: int, done: list[list[int]]) -> pa.RecordBatch:
-    columns = [[task] * len(done), list(range(first, first + len(done))), [len(d) for d in done], [sum(d) for d in done]]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["task", "batch", "n_inputs", "n_tokens"])
+    """Requests of each group of GROUP_IDS neighbouring ids, packed in order of id: grp,
+    batch (from 0), n_inputs, n_tokens.  The same however the rows are partitioned.
+    Null ids are grouped by their texts, in groups below 0."""
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = sorted(zip(found.column("id").to_pylist(), found.column("tokens").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        done = list(batches([(t, t) for _, t in rows], inputs, tokens))
+        columns = [[found.column("grp")[0].as_py()] * len(done), list(range(len(done))), [len(d) for d in done], [sum(d) for d in done]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["grp", "batch", "n_inputs", "n_tokens"])
+
+    group = F.coalesce(F.floor(F.col(key) / GROUP_IDS), -1 - F.pmod(F.xxhash64(F.col(text)), F.lit(4096)))
+    rows = files.select(F.col(key).alias("id"), group.cast("long").alias("grp"), count_tokens(F.col(text)).alias("tokens"))
+    return rows.groupBy("grp").applyInArrow(run, "grp long, batch long, n_inputs long, n_tokens long")

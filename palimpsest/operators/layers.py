@@ -2,50 +2,75 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.virtual_repo import VERSION
+from ..storage import scratch
+
+
+#: Rows of history that the driver walks in memory; longer ones are walked by joins.
+DRIVER_ROWS = 1_000_000
+
+
+def ancestors(history: DataFrame, start: str) -> DataFrame:
+    """commit and depth (the fewest steps to it) of a commit and all its ancestors that
+    are in the history: rows of commit and parent, one for each parent.
+
+    Each commit is met once, however many ways lead to it, so merges and circles do
+    no harm and depth has no limit.  History is metadata and small next to what it
+    describes: up to DRIVER_ROWS rows are walked on the driver.  Beyond, each step is
+    a join with what the step before found, written to the shared folder.  A null
+    parent is a root; an unknown start gives no rows.
+    """
+    spark, edges = history.sparkSession, history.select("commit", "parent")
+    rows = edges.limit(DRIVER_ROWS + 1).toArrow()
+    if len(rows) <= DRIVER_ROWS:
+        parents: dict[str, list[str]] = {}
+        for commit, parent in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            parents.setdefault(commit, []).append(parent)
+        depth = {start: 0} if start in parents else {}
+        queue = deque(depth)
+        while queue:
+            commit = queue.popleft()
+            for parent in parents[commit]:
+                if parent in parents and parent not in depth:
+                    depth[parent] = depth[commit] + 1
+                    queue.append(parent)
+        return spark.createDataFrame(list(depth.items()), "commit string, depth long")
+    path, known, step = scratch(spark, "ancestors"), edges.select("commit").distinct(), 0
+    frontier = known.where(F.col("commit") == F.lit(start))
+    while True:
+        frontier.write.parquet(f"{path}/depth={step}")
+        found = spark.read.schema("commit string, depth long").parquet(path)
+        last = found.where(F.col("depth") == step).select("commit")
+        if not last.limit(1).count():
+            return found
+        frontier = edges.join(last, "commit").select(F.col("parent").alias("commit")).distinct().join(known, "commit", "left_semi").join(found, "commit", "left_anti")
+        step += 1
 
 
 def chain_start(commits: DataFrame, indexed: DataFrame, start: str, strict: bool = False) -> DataFrame:
     """The nearest indexed ancestor of a commit (itself too, unless ``strict``):
-    commit and commits_behind.  Walks the history by recursion; none: no row."""
-    spark = commits.sparkSession
-    commits.createOrReplaceTempView("pal_commits")
-    indexed.select("commit").distinct().createOrReplaceTempView("pal_indexed")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(commit, parent, depth) AS (
-            SELECT commit, parent, 0 FROM pal_commits WHERE commit = '{start}'
-            UNION ALL
-            SELECT c.commit, c.parent, w.depth + 1 FROM walk w JOIN pal_commits c ON c.commit = w.parent
-        )
-        SELECT commit, CAST(depth AS BIGINT) AS commits_behind FROM walk JOIN pal_indexed USING (commit)
-        WHERE depth >= {int(strict)} ORDER BY depth, commit LIMIT 1
-    """)
+    commit and commits_behind.  Of equally near ones the least name; none: no row."""
+    found = ancestors(commits, start).where(F.col("depth") >= int(strict)).join(indexed.select("commit").distinct(), "commit")
+    return found.select("commit", F.col("depth").alias("commits_behind")).orderBy("commits_behind", "commit").limit(1)
 
 
 def chain_walk(layers: DataFrame, start: str) -> DataFrame:
     """commit and seq (0: newest) of the layers from one to its root or a gap."""
-    spark = layers.sparkSession
-    current(layers).createOrReplaceTempView("pal_layers")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(commit, parent, seq) AS (
-            SELECT commit, parent, 0 FROM pal_layers WHERE commit = '{start}'
-            UNION ALL
-            SELECT l.commit, l.parent, c.seq + 1 FROM chain c JOIN pal_layers l ON l.commit = c.parent
-        )
-        SELECT commit, CAST(seq AS BIGINT) AS seq FROM chain
-    """)
+    return ancestors(current(layers), start).select("commit", F.col("depth").alias("seq"))
 
 
 def walk_on_driver(parents: dict[str, str | None], start: str) -> list[str]:
     """The same over a small map; a commit met twice ends the walk."""
-    out: list[str] = []
+    out: dict[str, None] = {}
     while start in parents and start not in out:
-        out.append(start)
+        out[start] = None
         start = parents[start] or ""
-    return out
+    return list(out)
 
 
 def current(layers: DataFrame) -> DataFrame:
@@ -92,7 +117,7 @@ def drop_layers(spark: SparkSession, path: str, commits: list[str] | None = None
 
 def gc_plan(layers: DataFrame, commits: DataFrame) -> DataFrame:
     """Layers to delete and why; what hangs off them isn't deleted with them."""
-    known = commits.select("commit", F.lit(True).alias("known"))
+    known = commits.select("commit", F.lit(True).alias("known")).distinct()
     marked = layers.join(known, "commit", "left")
     reason = F.when(F.col("version").isNull(), "unreadable").when(F.col("version") != VERSION, "obsolete_version").when(F.col("known").isNull(), "commit_gone")
     return marked.withColumn("reason", reason).where("reason is not null").select("commit", "parent", "reason", "bytes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,21 @@ def incomplete_files(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("commit", "doc_id").agg(F.bool_or(~F.coalesce(filled(F.col("code")), F.lit(False))).alias("incomplete")).where("incomplete").select("commit", "doc_id")
 
 
+class Reranker(Protocol):
+    """Scores texts for a query, higher is better; made once per task."""
+
+    def rerank(self, query: str, texts: list[str]) -> list[float]: ...
+
+
+class WordShare:
+    """The offline default: the share of the query's words that a text holds."""
+
+    def rerank(self, query: str, texts: list[str]) -> list[float]:
+        words = list(dict.fromkeys(query.lower().split()))
+        held = [set(t.lower().split()) for t in texts]
+        return [sum(w in h for w in words) / max(1, len(words)) for h in held]
+
+
 def rerank(hits: DataFrame, query_words: list[str], k: int) -> DataFrame:
     """The k best of (idx, text) by the share of query words a text holds; ties by idx."""
     words = F.split(F.lower("text"), r"[^a-z]+")

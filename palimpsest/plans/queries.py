@@ -125,27 +125,40 @@ def read_chunk_text(spark, d):
 
 @query
 def resolve_commit(spark, d):
-    return spark.createDataFrame(repo.REFS, "name string, commit string").join(repo.commits(spark).select("commit"), "commit").select("name", "commit")
+    """Names of known commits; those of lost ones resolve to nothing."""
+    return repo.refs(spark, d).join(repo.commits(spark, d).select("commit").distinct(), "commit").select("name", "commit")
 
 
 @query
 def indexed_commits(spark, d):
-    return layers.current(repo.layers(spark)).select("commit", "parent")
+    return layers.current(repo.layers(spark, d)).select("commit", "parent")
+
+
+def _named(spark, k: int) -> str:
+    return spark.range(1).select(repo.commit_name(F.lit(k))).head()[0]
 
 
 @query
 def chain_start(spark, d):
-    return layers.chain_start(repo.commits(spark), layers.current(repo.layers(spark)), "c3")
+    """The nearest indexed ancestor of the newest commit."""
+    return layers.chain_start(repo.commits(spark, d), layers.current(repo.layers(spark, d)), _named(spark, repo.newest(spark, d)))
 
 
 @query
 def delta_parent(spark, d):
-    return layers.chain_start(repo.commits(spark), layers.current(repo.layers(spark)), "c2", strict=True)
+    """The nearest indexed ancestor of an indexed commit, not itself."""
+    return layers.chain_start(repo.commits(spark, d), layers.current(repo.layers(spark, d)), _named(spark, _top(spark, d)), strict=True)
+
+
+def _top(spark, d) -> int:
+    """The newest commit that has a layer: every third has, of the older seven tenths."""
+    return (repo.newest(spark, d) * 7 // 10 - 1) // 3 * 3 + 1
 
 
 @query
 def chain_walk(spark, d):
-    return layers.chain_walk(repo.layers(spark), "c2")
+    """From the newest layer to one that can't be read."""
+    return layers.chain_walk(repo.layers(spark, d), _named(spark, _top(spark, d)))
 
 
 # -- search
@@ -243,12 +256,12 @@ def compact(spark, d):
 
 @query
 def reuse_embeddings(spark, d):
-    """Codes of c0's first chunks for those of c2 with equal path and bytes."""
-    first = repo.vectors(spark, d).where("vec_id % 5 = 0").select(F.expr("vec_id div 5").alias("doc_id"), "code")
-    files = repo.files(spark, d)
-    old = files.where("commit = 'c0'").join(first, "doc_id").select("path", F.lit(0).alias("chunk_index"), "text", "code")
-    new = files.where("commit = 'c2'").select("path", F.lit(0).alias("chunk_index"), "text")
-    return indexing.reuse_codes(old, new).select("path", codes.spell(F.col("code")).alias("code"))
+    """Codes of c0's chunks for those of c2 with equal path and bytes."""
+    vectors = repo.vectors(spark, d).select(F.expr("vec_id div 5").alias("doc_id"), (F.col("vec_id") % 5).cast("int").alias("chunk_index"), "code")
+    found = repo.pieces(repo.files(spark, d)).select("commit", "doc_id", "path", "chunk_index", F.col("piece").alias("text"))
+    old = found.where("commit = 'c0'").join(vectors, ["doc_id", "chunk_index"]).select("path", "chunk_index", "text", "code")
+    new = found.where("commit = 'c2'").select("path", "chunk_index", "text")
+    return indexing.reuse_codes(old, new).select("path", "chunk_index", codes.spell(F.col("code")).alias("code"))
 
 
 def _lengths(spark, d) -> DataFrame:
@@ -333,11 +346,25 @@ def chunk_invariants(spark, d):
     return found.groupBy("doc_id").agg(F.sum("chunk_len").alias("bytes"), F.bool_and(F.col("at") == F.col("byte_offset")).alias("contiguous"))
 
 
+def _code_files(spark, d) -> DataFrame:
+    """Documents as sources of three kinds: doc_id, path and text."""
+    body = F.split("text", "\n", -1)
+    rust = F.array_join(F.transform(body, lambda s, i: F.concat(F.when(i % 6 == 0, F.lit("\n\n")).otherwise(F.lit("")), F.lit("fn f"), i.cast("string"), F.lit("() {\n    // "), s, F.lit("\n}\n"))), "")
+    python = F.array_join(F.transform(body, lambda s, i: F.concat(F.when(i % 6 == 0, F.lit("\n\n")).otherwise(F.lit("")), F.lit("def f"), i.cast("string"), F.lit("():\n    # "), s, F.lit("\n    return 1\n"))), "")
+    k = F.col("doc_id") % 3
+    path = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.when(k == 0, ".rs").when(k == 1, ".py").otherwise(".txt"))
+    return repo.table(spark, d, "documents").select("doc_id", path.alias("path"), F.when(k == 0, rust).when(k == 1, python).otherwise(F.col("text")).alias("text"))
+
+
 @query
 def chunk_code(spark, d):
-    """Whole files by extension; no parser is installed, so by lines (as unknown languages are)."""
-    files = repo.base_files(spark, d)
-    return chunking.chunk_files(files, 200).join(files.select("doc_id", text.language_of(F.col("path")).alias("language")), "doc_id")
+    """Sources cut by their syntax, prose by lines: chunks of each file follow without
+    gaps, and how many bytes they hold."""
+    files = _code_files(spark, d)
+    found = chunking.chunk_code_files(files, 200)
+    per = found.groupBy("doc_id").agg(F.min("byte_offset").alias("first"), F.sum("chunk_len").alias("bytes"), F.max(F.col("byte_offset") + F.col("chunk_len")).alias("last"), F.count_distinct("byte_offset").alias("starts"), F.count(F.lit(1)).alias("chunks"), F.min("chunk_len").alias("least"))
+    whole = (F.col("first") == 0) & (F.col("bytes") == F.col("last")) & (F.col("starts") == F.col("chunks")) & (F.col("least") > 0)
+    return per.join(files.select("doc_id", text.language_of(F.col("path")).alias("language")), "doc_id").select("doc_id", "language", "bytes", whole.alias("contiguous"))
 
 
 @query
@@ -361,11 +388,13 @@ def snippet_numbered(spark, d):
 
 @query
 def snippet_staleness(spark, d):
-    """How c1's files, from byte 0, fare in c2 as the working tree."""
+    """How c1's chunks fare in c2 as the working tree, where every 13th file has a new
+    first line."""
     files = repo.files(spark, d)
-    disk = files.where("commit = 'c2'").select("path", F.col("text").cast("binary").alias("disk"))
-    chunk = F.col("text").cast("binary")
-    return files.where("commit = 'c1'").join(disk, "path", "left").select("path", snippets.staleness(chunk, F.lit(0), F.col("disk")).alias("state"))
+    moved = F.when(F.col("doc_id") % 13 == 2, F.concat(F.lit("# moved\n"), "text")).otherwise(F.col("text"))
+    disk = files.where("commit = 'c2'").select("path", moved.cast("binary").alias("disk"))
+    found = repo.pieces(files.where("commit = 'c1'")).join(disk, "path", "left")
+    return found.select("path", "chunk_index", snippets.staleness(F.col("piece").cast("binary"), F.col("offset"), F.col("disk")).alias("state"))
 
 
 # -- administration
@@ -373,20 +402,18 @@ def snippet_staleness(spark, d):
 
 @query
 def status(spark, d):
-    found = layers.current(repo.layers(spark)).agg(F.count(F.lit(1)).alias("layers"), F.sum("bytes").alias("bytes"), F.max_by(F.substring("commit", 1, 12), "mtime").alias("latest"))
+    found = layers.current(repo.layers(spark, d)).agg(F.count(F.lit(1)).alias("layers"), F.sum("bytes").alias("bytes"), F.max_by(F.substring("commit", 1, 12), "mtime").alias("latest"))
     return found.select("layers", "bytes", snippets.format_bytes(F.col("bytes")).alias("size"), "latest")
 
 
 @query
 def gc_plan(spark, d):
-    return layers.gc_plan(repo.layers(spark), repo.commits(spark)).select("commit", "reason", "bytes")
+    return layers.gc_plan(repo.layers(spark, d), repo.commits(spark, d)).select("commit", "reason", "bytes")
 
 
 @query
 def gc_orphans(spark, d):
-    # here g0's commit is gone but g1's is known
-    known = repo.commits(spark).unionByName(spark.createDataFrame([("g1", "g0")], "commit string, parent string"))
-    return layers.gc_orphans(repo.layers(spark), known)
+    return layers.gc_orphans(repo.layers(spark, d), repo.commits(spark, d))
 
 
 @query

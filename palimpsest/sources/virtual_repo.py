@@ -1,7 +1,9 @@
 """A small history of files over the driver's tables, which hold no repository.
 
-Commits c0 <- c1 <- c2 <- c3 and a side branch b1 off c0; c3 has no layer.  The
-snapshots of c0, c1 and c2 differ by files added, edited and removed.
+Commits c0 <- c1 <- c2; their snapshots differ by files added, edited and removed.
+Beside them a long history of a commit for each row of ``part``, with merges, and the
+layers of its older part, some of them of other versions, cut off or left over from
+commits that are gone.
 """
 
 from __future__ import annotations
@@ -12,10 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.codes import quantise
 
 VERSION = 2
-COMMITS = [("c0", None), ("c1", "c0"), ("c2", "c1"), ("c3", "c2"), ("b1", "c0")]
-#: commit, parent, version, bytes, time written
-LAYERS = [("c0", None, 2, 1_048_576, 10), ("c1", "c0", 2, 524_288, 20), ("c2", "c1", 2, 2_000, 30), ("b1", "c0", 2, 900, 25), ("f0", "c2", 1, 700, 5), ("g0", None, 2, 4_096, 6), ("g1", "g0", 2, 4_096, 7)]
-REFS = [("HEAD", "c3"), ("main", "c3"), ("side", "b1"), ("v1", "c1")]
 REPOS = [("alpha", "/srv/alpha"), ("beta", "/srv/beta"), ("gamma", "/srv/gamma")]
 ALIASES = [("both", ["alpha", "beta"]), ("none", [])]
 
@@ -24,12 +22,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def commits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COMMITS, "commit string, parent string")
+def commit_name(k: Column) -> Column:
+    return F.md5(k.cast("string"))
 
 
-def layers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LAYERS, "commit string, parent string, version int, bytes long, mtime long")
+def _gone(k: Column) -> Column:
+    return F.md5(F.concat(F.lit("gone"), k.cast("string")))
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k of every commit of the history, the oldest first."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+
+
+def newest(spark: SparkSession, sf_dir: str) -> int:
+    return numbers(spark, sf_dir).agg(F.max("k")).head()[0] or 0
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit and parent, a row for each parent: the commit before, and every tenth is
+    a merge with the one 13 before."""
+    k, all_k = F.col("k"), numbers(spark, sf_dir)
+    merges = all_k.where((k % 10 == 0) & (k > 13)).select(commit_name(k).alias("commit"), commit_name(k - 13).alias("parent"))
+    return all_k.select(commit_name(k).alias("commit"), F.when(k > 1, commit_name(k - 1)).alias("parent")).unionByName(merges)
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit, parent, version (null: unreadable), bytes and mtime of layers: of every
+    third commit of the older seven tenths, and of some commits that are gone."""
+    k, n, all_k = F.col("k"), newest(spark, sf_dir), numbers(spark, sf_dir)
+    parent = F.when((k % 50 == 4) & (k <= 160), _gone(k - 1)).when(k > 3, commit_name(k - 3))
+    version = F.when((k % 61 == 0) & (k < 400), 1).when((k % 67 != 0) | (k >= 400), VERSION)
+    own = all_k.where((k % 3 == 1) & (k <= n * 7 // 10)).select(commit_name(k).alias("commit"), parent.alias("parent"), version.alias("version"), (k * 1000 + 7).alias("bytes"), k.alias("mtime"))
+    left = all_k.where((k % 50 == 3) & (k <= n // 2)).select(_gone(k).alias("commit"), F.lit(None).cast("string").alias("parent"), F.lit(VERSION).alias("version"), k.alias("bytes"), k.alias("mtime"))
+    return own.unionByName(left)
+
+
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name and commit: HEAD, a tag for every hundredth commit, and names of lost ones."""
+    k, n, all_k = F.col("k"), newest(spark, sf_dir), numbers(spark, sf_dir)
+    tags = all_k.where(k % 100 == 0).select(F.concat(F.lit("v"), k.cast("string")).alias("name"), commit_name(k).alias("commit"))
+    head = all_k.where(k == n).select(F.lit("HEAD").alias("name"), commit_name(k).alias("commit"))
+    return tags.unionByName(head).unionByName(all_k.where(k % 150 == 3).select(F.concat(F.lit("lost"), k.cast("string")).alias("name"), _gone(k).alias("commit")))
+
+
+#: Characters to a piece of a file, of which a file has five at most.
+PIECE = 200
+
+
+def pieces(files: DataFrame) -> DataFrame:
+    """The five chunks a file may have: chunk_index, offset (bytes) and piece (never
+    empty) beside the columns of files; the last holds all that is left."""
+    at = lambda i: F.substring("text", i * PIECE + 1, PIECE if i < 4 else 1 << 30)
+    each = F.array(*(F.struct(F.lit(i).alias("chunk_index"), F.octet_length(F.substring("text", 1, i * PIECE)).cast("long").alias("offset"), at(i).alias("piece")) for i in range(5)))
+    return files.select("*", F.explode(each).alias("e")).select(*files.columns, "e.*").where("piece <> ''")
 
 
 def base_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,19 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 
 
-#: Folders made for sessions without the setting, as in local tests.
-_local: dict[str, str] = {}
+#: The folder of each application.
+_homes: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only a session without that setting gets a temporary folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        own = spark.sparkContext.applicationId
-        base = _local.get(own) or _local.setdefault(own, "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``):
+    in a folder of this application, which is deleted when it ends.
+
+    Only a local session without that setting gets a temporary folder of this
+    machine; a cluster without it is an error."""
+    own = spark.sparkContext.applicationId
+    if own not in _homes:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        home = f"{base.rstrip('/')}/palimpsest-{own}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(home)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _homes[own] = home
+    return f"{_homes[own]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

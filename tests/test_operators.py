@@ -181,13 +181,14 @@ def test_line_chunk_choices():
 
 
 def test_ranges_and_code():
-    assert chunking.from_ranges([(2, 5), (4, 6), (8, 9)], 12) == [(0, 8), (8, 4)]
+    # of an overlap the earlier range keeps what it has, the later one the rest
+    assert chunking.from_ranges([(2, 5), (4, 6), (8, 9)], 12) == [(0, 5), (5, 3), (8, 4)]
+    assert chunking.from_ranges([(2, 5), (3, 4)], 12) == [(0, 12)]
     assert chunking.from_ranges([], 0) == []
     data = b"fn a() {}\nfn b() {}\nfn c() {}\n"
-    parser = {"rs": lambda d: [(0, 9), (10, 19), (20, 29)]}
-    assert chunking.chunk_code("m.rs", data, 1000, parser) == [(0, len(data))]
-    assert chunking.chunk_code("m.rs", data, 7, parser) == [(0, 10), (10, 10), (20, 10)]
-    assert chunking.chunk_code("m.txt", data, 7, parser) == chunking.chunk_lines(data, 7)
+    assert chunking.chunk_code("m.rs", data, 1000) == [(0, len(data))]
+    assert chunking.chunk_code("m.rs", data, 7) == [(0, 10), (10, 10), (20, 10)]
+    assert chunking.chunk_code("m.rs", data, 7, {}) == chunking.chunk_code("m.txt", data, 7) == chunking.chunk_lines(data, 7)
 
 
 def test_language(spark):
@@ -250,3 +251,156 @@ def test_scans_read_only_what_is_used(spark):
 
     text_plan = plan(catalog.QUERIES["token_count"](spark, "/root/testdata/sf0.001"))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text_plan
+
+
+def history(rows):
+    """Steps to each ancestor, level by level."""
+    def depths(start):
+        parents, out, level = {}, {}, {start}
+        for commit, parent in rows:
+            parents.setdefault(commit, set()).add(parent)
+        k = 0
+        while level := {c for c in level if c in parents and c not in out}:
+            out |= dict.fromkeys(level, k)
+            level, k = {p for c in level for p in parents[c]}, k + 1
+        return out
+
+    return depths
+
+
+def names(k):
+    return f"it's {k}"
+
+
+SHAPES = {
+    "line": [(names(k), names(k - 1) if k else None) for k in range(10_000)],
+    "diamonds": [(names(k), names(k - d)) for k in range(2, 3000) for d in (1, 2)] + [(names(1), names(0)), (names(0), None)],
+    "circle": [(names(k), names((k - 1) % 50)) for k in range(50)],
+    "gap": [(names(9), names(8)), (names(8), names(7)), (names(6), None)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_ancestors_of_any_depth_and_shape(spark, monkeypatch, shape):
+    rows = SHAPES[shape]
+    table = spark.createDataFrame(rows, "commit string, parent string")
+    start = rows[-3 if shape == "diamonds" else 0 if shape == "gap" else -1][0]
+    want = history(rows)(start)
+    assert dict(layers.ancestors(table, start).collect()) == want
+    assert layers.ancestors(table, "none").count() == 0
+    far = max(want, key=lambda c: (want[c], c))
+    found = layers.chain_start(table, spark.createDataFrame([(far,), ("none",)], "commit string"), start).collect()
+    assert [tuple(r) for r in found] == [(far, want[far])]
+    if shape != "line":
+        # the way by joins, on the part of the history near the start
+        near = [(c, p) for c, p in rows if want.get(c, 99) <= 6]
+        monkeypatch.setattr(layers, "DRIVER_ROWS", 0)
+        small = spark.createDataFrame(near, "commit string, parent string")
+        assert dict(layers.ancestors(small, start).collect()) == history(near)(start)
+
+
+def test_boundary_scores():
+    assert chunking.blank_lines(b" \n\t\r\nx\n\n") == 3 and chunking.blank_lines(b"") == 0
+    gap = lambda s: chunking.boundary_score(b"a;" + s + b"b;", 2, 2 + len(s))
+    assert gap(b"\n") == gap(b" ") == gap(b"") == 0 and gap(b"\n\n") == 101 and gap(b"\n \n\n") == 102
+    assert chunking.boundary_score(b"abc", 2, 1) == 0
+
+
+RUST = b"""// head
+use a::b;
+
+/* doc */
+fn f(x: [u8; 3]) -> i32 {
+    let a = "}{"; // c
+    if x { y(); } else { z(); }
+    g(|v| { v; w; });
+}
+
+impl T {
+  fn a() {}
+
+  fn b() { 1 }
+}
+const C: char = '{';
+"""
+
+
+def test_code_is_cut_at_its_items():
+    text = lambda path, data, budget: [data[a : a + n] for a, n in chunking.chunk_code(path, data, budget)]
+    assert text("a.rs", RUST, 1000) == [RUST]
+    parts = text("a.rs", RUST, 60)
+    assert [p[:9] for p in parts] == [b"// head\nu", b"/* doc */", b"impl T {\n"] and b"".join(parts) == RUST
+    # too large a function is cut at its statements, its head is a part of its own
+    small = text("a.rs", RUST, 14)
+    assert b"".join(small) == RUST and small[2:7] == [b"fn f(x: [u8; 3]) -> i32 {\n    ", b'let a = "}{"; ', b"// c\n    if x { y(); } ", b"else { z(); }\n    ", b"g(|v| { v; w; });\n}\n\n"]
+    python = b"import x\n\n\n@dec(1)\ndef f():\n    a = 1\n    return a\n\n\nclass A:\n    def g(self):\n        return 2\n"
+    assert [p[:7] for p in text("m.py", python, 20)] == [b"import ", b"@dec(1)", b"class A"]
+    assert chunking.chunk_code("m.py", b"def (:\n  x\n", 3) == chunking.chunk_lines(b"def (:\n  x\n", 3)
+    ruby = b"class A\n  def b\n    1\n  end\n\n\n  def c\n    2\n  end\nend\n"
+    assert text("a.rb", ruby, 6) == [b"class A\n", b"  def b\n    1\n  end\n\n\n", b"  def c\n    2\n  end\nend\n"]
+
+
+def test_siblings_gather_and_part_at_the_best_boundary():
+    from palimpsest.functions.syntax import Node
+
+    data = b"a a\n\n\nb b\nc c\nd d d d d d d\ne"
+    at = [(0, 3), (6, 9), (10, 13), (14, 27), (28, 29)]
+    tree = Node(0, len(data), [Node(a, b) for a, b in at])
+    cut = lambda budget: chunking.node_ranges(tree, data, budget)
+    assert cut(99) == [(0, len(data))]
+    assert cut(5) == [(0, 3), (6, 13), (14, 27), (28, 29)]  # by the blank lines first
+    assert cut(13) == [(0, 3), (6, 29)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["fn a() {", "}", "{", "(", ")", "x;", "\n", "\n\n", "// c\n", '"', "'", "/*", "*/", "é ", "def f():\n    ", "class A\n", "  end\n", "if x:\n", "return 1\n", "@d\n", "\t"]), max_size=60), st.sampled_from(["rs", "py", "rb", "js", "c"]), st.integers(1, 30))
+def test_code_chunks_cover_any_file(parts, ext, budget):
+    data = "".join(parts).encode()
+    at = 0
+    for offset, n in chunking.chunk_code(f"f.{ext}", data, budget):
+        assert offset == at and n > 0
+        at += n
+    assert at == len(data)
+
+
+def test_requests_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(k, "w " * (k % 7 + 1)) for k in range(600)] + [(None, "x y"), (None, None)], "doc_id long, text string")
+    got = [sorted(tuple(r) for r in indexing.embed_batches(rows.repartition(n), 16, 40).collect()) for n in (1, 5)]
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) == 602 and all(r[2] <= 16 and (r[3] <= 40 or r[2] == 1) for r in got[0])
+    assert sum(r[2] for r in got[0] if r[0] < 0) == 2 and indexing.embed_batches(rows.limit(0)).count() == 0
+
+
+def test_rate_limiter_by_a_made_clock():
+    clock = [0.0]
+    passed = []
+    limiter = indexing.RateLimiter(10, 60, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+    rng = random.Random(2)
+    for _ in range(200):
+        clock[0] += rng.random() * 9
+        n = rng.choice([1, 2, 5, 10, 25])
+        limiter.take(n)
+        passed.append((clock[0], n))
+    for t, _ in passed:
+        window = [n for s, n in passed if t - 60 + 1e-6 < s <= t]
+        assert sum(window) <= 10 or len(window) == 1
+    import pickle
+
+    limited = pickle.loads(pickle.dumps(indexing.LimitedEmbedder(indexing.HashingEmbedder(8), 80, 8)))
+    assert limited.share == 10 and limited.embed_documents(["a b", "c"]).shape == (2, 8) and limited.limiter.held == 3
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from palimpsest import storage
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Cluster:
+        conf = Conf
+
+        class sparkContext:
+            applicationId, master = "app-x", "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        storage.scratch(Cluster, "x")
+    assert storage.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
