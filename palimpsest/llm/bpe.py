@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -119,6 +120,9 @@ class BPE:
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or self.spaced == bool(self.suffix):
             raise ValueError(f"unsupported vocabulary layout: {path}")
         self.added = [t["content"] for t in spec["added_tokens"]]
+        #: what all added tokens begin with, so that most texts are ruled out by one look
+        self.hint = os.path.commonprefix(self.added)
+        self.late = any(t.get("normalized") for t in spec["added_tokens"])
         vocab = model["vocab"]
         alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(alphabet)}
@@ -283,8 +287,16 @@ class BPE:
             np.cumsum(np.concatenate(counts), out=offsets[1:])
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets
 
+    def has_added(self, text: str) -> bool:
+        """Whether an added token's literal may occur, before normalising or after."""
+        if not self.added:
+            return False
+        if self.hint in text and any(a in text for a in self.added):
+            return True
+        return self.late and any(a in self.normalise(text) for a in self.added)
+
     def _encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        special = {i for i, t in enumerate(texts) if "<|" in t and any(a in t for a in self.added)}
+        special = {i for i, t in enumerate(texts) if self.has_added(t)}
         ids, n = self._plain(["" if i in special else self.normalise(t) for i, t in enumerate(texts)])
         if special:
             cut = np.split(ids, np.cumsum(n)[:-1])

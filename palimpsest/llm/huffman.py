@@ -1,9 +1,12 @@
 """Token-id files: canonical, length-limited Huffman codes from global counts.
 
-A file is a Parquet row per block.  A block holds whole documents in ascending
-order of id; its payload is one bit stream, and the bit position of every
-``STEP``-th id is kept, so a reader decodes all these stretches side by side with
-one table look-up per id.  Blocks need nothing from each other.
+A folder of token files holds ``blocks`` (a Parquet row per block), ``codes`` (the
+length of each id's code, and what a reader must know of the format) and ``parts``
+(how many ids come before each part), and is read from its path alone.  A block
+holds whole documents in ascending order of id; its payload is one bit stream, and
+the bit position of every ``STEP``-th id is kept, so a reader decodes all these
+stretches side by side with one table look-up per id.  Blocks need nothing from
+each other.
 
 Null texts are empty documents (the end id alone); equal ids keep one another's
 company in a fixed order (by their token ids); a null id sorts first; an empty
@@ -94,7 +97,7 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return table
 
 
-def decode_blocks(payloads: list[bytes], marks: list[bytes], counts: list[int], table: np.ndarray) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], marks: list[bytes], counts: list[int], table: np.ndarray, step: int = STEP) -> np.ndarray:
     """Ids of some blocks, one after another; all stretches advance together."""
     if not sum(counts):
         return np.zeros(0, np.uint32)
@@ -103,38 +106,45 @@ def decode_blocks(payloads: list[bytes], marks: list[bytes], counts: list[int],
     for payload, mark, n in zip(payloads, marks, counts):
         at = np.frombuffer(mark, "<u4").astype(np.int64)
         lanes.append(at + base * 8)
-        starts.append(done + np.arange(len(at)) * STEP)
-        sizes.append(np.minimum(STEP, n - np.arange(len(at)) * STEP))
+        starts.append(done + np.arange(len(at)) * step)
+        sizes.append(np.minimum(step, n - np.arange(len(at)) * step))
         parts += [payload, b"\0" * (4 - len(payload) % 2)]
         base += len(payload) + 4 - len(payload) % 2
         done += n
     words = np.frombuffer(b"".join(parts), ">u2").astype(np.uint32)
     window = words[:-1] << 16 | words[1:]
     at, start, size = np.concatenate(lanes), np.concatenate(starts), np.concatenate(sizes)
-    grid = np.empty((STEP, len(at)), np.uint32)
+    grid = np.empty((step, len(at)), np.uint32)
     last = len(window) * 16 - 1
-    for k in range(STEP):
+    for k in range(step):
         bits = (window[np.minimum(at, last) >> 4] >> (16 - (at & 15)).astype(np.uint32)) & 0xFFFF
         hit = table[bits]
         grid[k] = hit >> 5
         at += hit & 31
-    return grid.T[np.arange(STEP) < size[:, None]]
+    return grid.T[np.arange(step) < size[:, None]]
 
 
-def count_ids(blocks: DataFrame, size: int, wide: bool) -> np.ndarray:
-    """How often each id occurs in all blocks; partial counts are made map-side."""
+def _counts(total: np.ndarray) -> bytes:
+    used = np.flatnonzero(total)
+    return used.astype("<i4").tobytes() + total[used].astype("<i8").tobytes()
+
+
+def count_ids(tallies: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs, from the tallies of the parts (see ``sorted_blocks``),
+    which are summed by the tasks that hold them first."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(unpack_ids(x.as_py(), wide), minlength=size)
+            for x in batch.column(0).to_pylist():
+                n = len(x) // 12
+                total[np.frombuffer(x, "<i4", n)] += np.frombuffer(x, "<i8", n, 4 * n)
         ids = np.flatnonzero(total)
         yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row.id] = row.n
+    found = tallies.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
@@ -142,11 +152,13 @@ _SORTED = "part int, block int, first long, n_tokens long, doc_ids binary, nulls
 _STORED = "part int, block int, first long, n_tokens long, doc_ids binary, nulls int, lens binary, marks binary, payload binary"
 
 
-def sorted_blocks(tokens: DataFrame, bounds: list[int], wide: bool) -> DataFrame:
+def sorted_blocks(tokens: DataFrame, bounds: list[int], wide: bool, size: int) -> DataFrame:
     """Whole documents in ascending order, gathered into blocks of ids.
 
     Partitions are ranges of doc_id, whose bounds come from a sketch of that
-    column; ``first`` counts the ids of the partition before the block.
+    column; ``first`` counts the ids of the partition before the block.  Each
+    partition ends with its tally: block -1, ``first`` all its ids, and in place of
+    ids how often each occurs.
     """
     edges = np.array(bounds, np.int64)
 
@@ -157,12 +169,18 @@ def sorted_blocks(tokens: DataFrame, bounds: list[int], wide: bool) -> DataFrame
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
         part, block, first = TaskContext.get().partitionId(), 0, 0
-        docs, lens, ids, size = [], [], [], 0
+        docs, lens, ids, held = [], [], [], 0
+        total = np.zeros(size, np.int64)
 
         def flush():
+            nonlocal total
             whole = np.concatenate(ids)
+            total += np.bincount(whole, minlength=size)
             nulls = sum(d is None for d in docs)
             row = [part, block, first, len(whole), np.array([d or 0 for d in docs], "<i8").tobytes(), nulls, np.array(lens, "<u4").tobytes(), pack_ids(whole, wide)]
+            return record(row)
+
+        def record(row):
             return pa.RecordBatch.from_pydict({f.name: pa.array([v], f.type) for f, v in zip(schema, row)})
 
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.int32()), ("lens", pa.binary()), ("ids", pa.binary())])
@@ -171,13 +189,16 @@ def sorted_blocks(tokens: DataFrame, bounds: list[int], wide: bool) -> DataFrame
                 docs.append(d)
                 lens.append(n)
                 ids.append(unpack_ids(packed.as_py(), wide))
-                size += n
-                if size >= BLOCK:
+                held += n
+                if held >= BLOCK:
                     yield flush()
-                    block, first = block + 1, first + size
-                    docs, lens, ids, size = [], [], [], 0
+                    block, first = block + 1, first + held
+                    docs, lens, ids, held = [], [], [], 0
         if docs:
             yield flush()
+            first += held
+        if first:
+            yield record([part, -1, first, 0, b"", 0, b"", _counts(total)])
 
     placed = map_arrow(tokens, place, "part int, doc_id long, n_tokens long, ids binary")
     ordered = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "ids")
@@ -192,16 +213,15 @@ def range_bounds(ids: DataFrame, parts: int) -> list[int]:
     return sorted(set(cuts.q or []))
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, size: int, end_id: int | None) -> tuple[np.ndarray, list[int]]:
-    """Encode every text and write the block files; the code lengths by id, and
-    the number of ids before each partition."""
+def write_files(docs: DataFrame, path: str, tokenizer: str, size: int, end_id: int | None) -> None:
+    """Encode every text and write the folder; ids are below ``size``."""
     spark, wide = docs.sparkSession, size > 65_536
     bounds = range_bounds(docs.select("doc_id"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     scratch = shared_path(spark, "token-blocks")
-    sorted_blocks(token_ids(docs, tokenizer, end_id, wide), bounds, wide).write.option("compression", "none").parquet(scratch)
-    blocks = spark.read.schema(_SORTED).parquet(scratch)
-    counts = count_ids(blocks, size, wide)
-    lengths = code_lengths(counts)
+    sorted_blocks(token_ids(docs, tokenizer, end_id, wide), bounds, wide, size).write.option("compression", "none").parquet(scratch)
+    found = spark.read.schema(_SORTED).parquet(scratch)
+    tallies, blocks = found.where("block < 0"), found.where("block >= 0")
+    lengths = code_lengths(count_ids(tallies, size))
     codes = canonical_codes(lengths)
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -209,21 +229,28 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, size: int, end_id: i
             payload, marks = encode_block(unpack_ids(batch.column(7)[i].as_py(), wide), lengths, codes)
             yield pa.record_batch([*(c.slice(i, 1) for c in batch.columns[:7]), pa.array([marks], pa.binary()), pa.array([payload], pa.binary())], ["part", "block", "first", "n_tokens", "doc_ids", "nulls", "lens", "marks", "payload"])
 
-    map_arrow(blocks, pack, _STORED).write.option("compression", "none").parquet(path)
-    sums = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    map_arrow(blocks, pack, _STORED).write.option("compression", "none").parquet(f"{path}/blocks")
+    # one row per partition, so the driver may add them up
+    sums, before, starts = dict(tallies.select("part", "first").collect()), 0, []
+    for p in sorted(sums):
+        starts.append((p, before))
+        before += sums[p]
     remove_path(spark, scratch)
-    before, starts = 0, []
-    for p in range(len(bounds) + 1):
-        starts.append(before)
-        before += sums.get(p, 0)
-    return lengths, starts
+    one = spark.range(1).coalesce(1)
+    one.select(F.lit(LIMIT).alias("limit"), F.lit(STEP).alias("step"), F.lit(bytearray(lengths.tobytes())).alias("lengths")).write.parquet(f"{path}/codes")
+    spark.createDataFrame(starts, "part int, start long").coalesce(1).write.parquet(f"{path}/parts")
 
 
-def read_files(spark: SparkSession, path: str, lengths: np.ndarray, starts: list[int], fold=None, kind: str = "binary") -> DataFrame:
+def read_files(spark: SparkSession, path: str, fold=None, kind: str = "binary") -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit), decoded
-    from the files; ``fold`` maps a document's ids to what is returned instead."""
+    from the folder; ``fold`` maps a document's ids to what is returned instead."""
     fold = fold or (lambda ids: ids.astype("<u4").tobytes())
-    stored = spark.read.schema(_STORED).parquet(path)
+    stored = spark.read.schema(_STORED).parquet(f"{path}/blocks")
+    head = spark.read.parquet(f"{path}/codes").head()
+    if head.limit != LIMIT:
+        raise ValueError(f"codes of up to {head.limit} bits")
+    step, lengths = head.step, np.frombuffer(bytes(head.lengths), np.uint8)
+    starts = dict(spark.read.parquet(f"{path}/parts").collect())  # a row per partition
     arrow = {"binary": pa.binary(), "long": pa.int64()}[kind]
 
     def run(batches):
@@ -231,7 +258,7 @@ def read_files(spark: SparkSession, path: str, lengths: np.ndarray, starts: list
         for batch in batches:
             for at in range(0, len(batch), 8):
                 part = batch.slice(at, 8).to_pydict()
-                ids = decode_blocks(part["payload"], part["marks"], part["n_tokens"], table)
+                ids = decode_blocks(part["payload"], part["marks"], part["n_tokens"], table, step)
                 docs, begins, sizes, values, done = [], [], [], [], 0
                 for k in range(len(part["part"])):
                     keys, lens = np.frombuffer(part["doc_ids"][k], "<i8").tolist(), np.frombuffer(part["lens"][k], "<u4").tolist()
@@ -252,6 +279,5 @@ def op2_token_files(docs: DataFrame, tokenizer: str, size: int = 50_257, end_id:
     """The query: doc_id, start, n_tokens and ids_crc32, all from the files read back."""
     spark = docs.sparkSession
     path = shared_path(spark, "token-files")
-    lengths, starts = write_files(docs, path, tokenizer, size, end_id)
-    crc = read_files(spark, path, lengths, starts, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "long")
-    return crc.withColumnRenamed("ids", "ids_crc32")
+    write_files(docs, path, tokenizer, size, end_id)
+    return read_files(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "long").withColumnRenamed("ids", "ids_crc32")

@@ -1,7 +1,11 @@
 import hashlib
+import json
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -103,6 +107,46 @@ def test_token_files(odd_docs, no_docs, texts):
     assert huffman.op2_token_files(no_docs, BYTE).count() == 0
 
 
+def test_a_second_session_reads_the_folder_by_its_path(spark, odd_docs, texts, tmp_path):
+    path = "file://" + str(tmp_path / "tokens")
+    huffman.write_files(odd_docs, path, BYTE, 50_257, 0)
+    reader = "import sys; from pyspark.sql import SparkSession as S; s = S.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); from palimpsest.llm.huffman import read_files as r; [print('row', x.doc_id, x.start, x.n_tokens, bytes(x.ids).hex()) for x in r(s, sys.argv[1]).orderBy('start').collect()]"
+    found = subprocess.run([sys.executable, "-c", reader, path], capture_output=True, text=True, timeout=200)
+    rows = [line.split(" ") for line in found.stdout.splitlines() if line.startswith("row ")]
+    library = made(BYTE)[1]
+    want = Counter((str(i), np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes().hex()) for i, t in texts)
+    assert Counter((r[1], r[4]) for r in rows) == want, found.stderr[-2000:]
+    ends = np.cumsum([int(r[3]) for r in rows])
+    assert [int(r[2]) for r in rows] == [0, *ends[:-1].tolist()]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_the_whole_corpus_equal_the_librarys(path):
+    """Every text of sf0.1, as op2 and op5 encode them."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    bpe, library = made(path)
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        ids, offsets = bpe.encode(part)
+        for want, a, b in zip(library.encode_batch(part, add_special_tokens=False), offsets, offsets[1:]):
+            assert ids[a:b].tolist() == want.ids
+
+
+def test_added_tokens_of_any_form(tmp_path):
+    """Added tokens that share no beginning, and one that is looked for after normalising."""
+    spec = json.loads(Path(WORD).read_text("utf-8"))
+    more = [dict(spec["added_tokens"][0], id=49408 + k, content=c, normalized=n) for k, (c, n) in enumerate((("[pad]", False), ("étiq", True)))]
+    spec["added_tokens"] += more
+    file = tmp_path / "tokenizer.json"
+    file.write_text(json.dumps(spec), "utf-8")
+    bpe, library = BPE(str(file)), Tokenizer.from_file(str(file))
+    for t in ("a [pad] b", "[PAD]", "x ÉTIQ y", "étiq", "e\u0301tiq", "<|endoftext|>", "pad tiq"):
+        ids, _ = bpe.encode([t])
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_round_trip_query(odd_docs, no_docs, texts):
     library = made(WORD)[1]
     want = Counter()
@@ -165,6 +209,17 @@ def test_packing_query(odd_docs, no_docs, texts):
     assert sum(r.length for r in rows) == total
     for r in rows:
         got[r.doc_id, r.start].append(tuple(np.frombuffer(r.ids, "<u4").tolist()))
-    for (i, ids), _ in want.items():
-        assert any(ids[: len(p)] == p for p in got[i, 0])
+    # each document's pieces, end to end, give its ids; of repeated rows each as often
+    for i in {i for i, _ in want}:
+        whole, copies = [ids for (k, ids), n in want.items() if k == i for _ in range(n)], Counter()
+        for (k, start), pieces in got.items():
+            if k == i:
+                copies.update((start, p) for p in pieces)
+        for ids in whole:
+            at = 0
+            while at < len(ids):
+                p = next(p for (start, p), n in copies.items() if n and start == at and ids[at : at + len(p)] == p)
+                copies[at, p] -= 1
+                at += len(p)
+        assert not +copies
     assert packing.op5_packing(no_docs, WORD).count() == 0
