@@ -1,14 +1,16 @@
-"""Command line: python -m palimpsest [--home DIR] add|alias|index|search|status|gc|drop ..."""
+"""Command line: python -m palimpsest [--home DIR] init|add|alias|index|search|status|gc|drop|debug ..."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .engine import Engine, Registry
+from .engine import Engine, Registry, clean_dirs
 from .functions.paths import DirFilter
+from .operators.chunking import BUDGET, chunk_code
 from .session import local_session
 from .sources.git_repo import GitRepo
 
@@ -17,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="palimpsest", description="Search over versioned files.")
     top.add_argument("--home", default=str(Path.home() / ".palimpsest"), help="folder of the registry and the layers")
     sub = top.add_subparsers(dest="command", required=True)
+    sub.add_parser("init", help="make an empty registry")
     add = sub.add_parser("add", help="register a repository")
     add.add_argument("name")
     add.add_argument("path")
@@ -31,10 +34,16 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("name")
     find.add_argument("query")
     find.add_argument("--commit")
+    find.add_argument("--worktree", help="search from the commit of this worktree")
     find.add_argument("--top", type=int, default=10)
     find.add_argument("--dir", action="append", default=[])
     find.add_argument("--exclude-dir", action="append", default=[])
     find.add_argument("--filter-first", action="store_true", help="filter directories before each layer is cut")
+    debug = sub.add_parser("debug", help="show what would be indexed")
+    debug.add_argument("what", choices=["files", "chunk"])
+    debug.add_argument("path", help="a repository; a file, or - for what is typed in")
+    debug.add_argument("--as", dest="name", help="the file name whose syntax is meant")
+    debug.add_argument("--budget", type=int, default=BUDGET)
     for name in ("status", "gc", "drop"):
         each = sub.add_parser(name)
         each.add_argument("names", nargs="*")
@@ -43,12 +52,41 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def debug_files(path: str) -> list[str]:
+    """Each tracked file of a repository: indexed, skipped (binary or empty) or
+    unreadable, and how many of each."""
+    git = GitRepo.discover(path)
+    paths, out, count = git.staged(), [], {"indexed": 0, "skipped": 0, "unreadable": 0}
+    for name in paths:
+        file = Path(git.root) / name
+        data = file.read_bytes() if file.is_file() else None
+        state = "unreadable" if data is None else "indexed" if data and b"\0" not in data[:8192] else "skipped"
+        count[state] += 1
+        out.append(f"{state} {name}")
+    return [*out, f"{len(paths)} tracked, " + ", ".join(f"{n} {s}" for s, n in count.items())]
+
+
+def debug_chunk(path: str, name: str | None, budget: int) -> list[str]:
+    """A file's chunks between rulers, numbered, with their ranges."""
+    data = sys.stdin.buffer.read() if path == "-" else Path(path).read_bytes()
+    out = []
+    for k, (a, n) in enumerate(chunk_code(name or path, data, budget), 1):
+        out += [f"--- chunk {k} ({a}, {n})", data[a : a + n].decode("utf-8", "replace")]
+    return [*out, "---"]
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     """Run one command; what it printed, line by line."""
     a = parser().parse_args(args)
     home = Path(a.home)
     home.mkdir(parents=True, exist_ok=True)
     registry, out = Registry.load(home / "registry.toml"), []
+    if a.command == "debug":
+        return debug_files(a.path) if a.what == "files" else debug_chunk(a.path, a.name, a.budget)
+    if a.command == "init":
+        if not registry.path.exists():
+            registry.save()
+        return [str(registry.path)]
     if a.command == "add":
         registry.add(a.name, a.path)
         return [f"{a.name}: {registry.repos[a.name]}"]
@@ -64,19 +102,23 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> li
             continue
         if a.command == "status":
             s = engine.status(name)
-            out.append(f"{name}: {s['layers']} layers, {s['chunks']} chunks, latest {(s['latest'] or '-')[:12]}")
+            out.append(f"{name}: {s['layers']} layers, {s['chunks']} chunks, {s['size']}, latest {(s['latest'] or '-')[:12]}")
             continue
         git = GitRepo.discover(registry.repos[name])
         if a.command == "index":
-            done = engine.index(name, git, a.commit, a.compact)
+            done = engine.index(name, git, a.commit, a.compact, lambda n, of: print(f"{name}: {n} of {of} chunks", file=sys.stderr))
             out.append(f"{name}: {done['commit'][:12]} " + ("is up to date" if done["already_up_to_date"] else f"{done['files']} files, {done['chunks']} chunks, {done['embedded']} embedded"))
         elif a.command == "gc":
-            out += [f"{name}: {c[:12]}" for c in engine.gc(name, git, a.dry_run)]
+            gone, orphans = engine.gc(name, git, a.dry_run)
+            out += [f"{name}: {c[:12]} {reason}" for c, reason in gone]
+            out += [f"{name}: {c[:12]} stays without {p[:12]}" for c, p in orphans]
         else:
-            dirs = DirFilter.of(a.dir, a.exclude_dir, git.root, str(Path.cwd()))
-            results, behind = engine.search(name, git, a.query, a.commit, a.top, dirs, "pre" if a.filter_first else "post")
-            out += [f"the index is {behind} commits behind"] * bool(behind)
-            out += [f"{name} {k} · {r['path']} ({r['offset']}, {r['length']}) [{r['score']:.4f}] {r['state']}\n{r['text']}" for k, r in enumerate(results, 1)]
+            tree = git.worktree(a.worktree) if a.worktree else git
+            dirs = DirFilter.of(clean_dirs(a.dir), clean_dirs(a.exclude_dir), git.root, str(Path.cwd()))
+            found = engine.search(name, tree, a.query, a.commit, a.top, dirs, "pre" if a.filter_first else "post")
+            out += [f"the index is {found.behind} commits behind"] * bool(found.behind)
+            out += [f"the index of {', '.join(c[:12] for c in found.incomplete)} is incomplete"] * bool(found.incomplete)
+            out += [f"{name} {k} · {r['path']} ({r['offset']}, {r['length']}) [{r['score']:.4f}] {r['state']}\n{r['text']}" for k, r in enumerate(found.results, 1)]
     return out
 
 

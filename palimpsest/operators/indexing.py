@@ -32,7 +32,8 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """The offline default: signed counts of words, hashed into ``dim`` places."""
+    """The offline default: each word counts up at one of ``dim`` places and down at
+    another, both by its hash."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -44,7 +45,8 @@ class HashingEmbedder:
         for row, text in zip(out, texts):
             for word in text.lower().split():
                 h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-                row[h % self.dim] += 1 if h & 0x80000000 else -1
+                row[h % self.dim] += 1
+                row[(h >> 16) % self.dim] -= 1
         return out
 
 

@@ -134,7 +134,7 @@ ORACLE_SQL: dict[str, str] = {
       walk AS (SELECT grp, i, 0::BIGINT AS batch, 1::BIGINT AS held, t AS size, t FROM r WHERE i = 1
         UNION ALL SELECT r.grp, r.i, batch + CASE WHEN held < 16 AND size + r.t <= 4000 THEN 0 ELSE 1 END, CASE WHEN held < 16 AND size + r.t <= 4000 THEN held + 1 ELSE 1 END, CASE WHEN held < 16 AND size + r.t <= 4000 THEN size + r.t ELSE r.t END, r.t FROM walk w JOIN r ON r.grp = w.grp AND r.i = w.i + 1)
       SELECT grp, batch, count(*) AS n_inputs, sum(t)::BIGINT AS n_tokens FROM walk GROUP BY grp, batch""",
-    "embed_query": f"WITH w AS (SELECT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM benchmark), s AS (SELECT item_id, {_MD5} % 64 AS place, sum(CASE WHEN {_MD5} >= 2147483648 THEN 1 ELSE -1 END) AS v FROM w WHERE word <> '' GROUP BY item_id, place), c AS (SELECT b.item_id, coalesce(sum(CASE WHEN v > 0 THEN 1::HUGEINT << (63 - place)::INTEGER ELSE 0 END), 0)::UBIGINT AS w FROM benchmark b LEFT JOIN s ON s.item_id = b.item_id GROUP BY b.item_id) SELECT item_id, {_HEX} AS code FROM c",
+    "embed_query": f"WITH w AS (SELECT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM benchmark), h AS (SELECT item_id, {_MD5} AS h FROM w WHERE word <> ''), u AS (SELECT item_id, h % 64 AS place, 1 AS v FROM h UNION ALL SELECT item_id, (h // 65536) % 64, -1 FROM h), s AS (SELECT item_id, place, sum(v) AS v FROM u GROUP BY item_id, place), c AS (SELECT b.item_id, coalesce(sum(CASE WHEN v > 0 THEN 1::HUGEINT << (63 - place)::INTEGER ELSE 0 END), 0)::UBIGINT AS w FROM benchmark b LEFT JOIN s ON s.item_id = b.item_id GROUP BY b.item_id) SELECT item_id, {_HEX} AS code FROM c",
     "detect_language": f"WITH p AS (SELECT unnest({list(_PATHS)!r}) AS path UNION ALL SELECT url FROM pages), e AS (SELECT path, string_split(path, '.')[-1] AS ext FROM p) SELECT path, {_LANG} AS language FROM e",
     "snippet_start_line": "WITH h AS (SELECT doc_id, substr(hex(encode(text)), 1, 2 * (strlen(text) // 2)) AS h FROM documents) SELECT doc_id, len(list_filter(range(1, len(h) // 2 + 1), lambda i: substr(h, (2 * i - 1)::BIGINT, 2) = '0A'))::BIGINT + 1 AS line FROM h",
     "snippet_numbered": "WITH s AS (SELECT doc_id, ends_with(text, chr(10)) AS e, string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(list_transform(l, lambda x, i: lpad((97 + i)::VARCHAR, len((97 + len(l))::VARCHAR)::INTEGER, ' ') || ' | ' || x), chr(10)) || CASE WHEN e THEN chr(10) ELSE '' END AS numbered FROM s",

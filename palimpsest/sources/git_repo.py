@@ -59,6 +59,11 @@ class GitRepo:
         """Paths at a commit, in order of their bytes; a path's position is its rank."""
         return sorted(filter(None, self._run("ls-tree", "-r", "-z", "--name-only", commit).split("\0")), key=str.encode)
 
+    def staged(self) -> list[str]:
+        """Paths of the staging index, in order of their bytes; a path in conflict once."""
+        rows = filter(None, self._run("ls-files", "--stage", "-z").split("\0"))
+        return sorted({r.split("\t", 1)[1] for r in rows}, key=str.encode)
+
     def history(self, commit: str) -> list[tuple[str, str | None]]:
         """(commit, first parent) of a commit and its ancestors, nearest first."""
         rows = [line.split() for line in self._run("log", "--format=%H %P", commit).splitlines()]
@@ -74,6 +79,13 @@ class GitRepo:
         paths = [line[9:] for line in self._run("worktree", "list", "--porcelain").splitlines() if line.startswith("worktree ")]
         return [("main" if k == 0 else Path(p).name, p) for k, p in enumerate(paths)]
 
+    def worktree(self, name: str) -> GitRepo:
+        """A worktree by its name, its path or its folder's name."""
+        for known, path in self.worktrees():
+            if name in (known, path, Path(path).name):
+                return GitRepo(path)
+        raise ValueError(f"no worktree {name}")
+
     def files(self, spark: SparkSession, commit: str, paths: list[str] | None = None) -> DataFrame:
         """path and content (bytes; null if unreadable), read by the tasks.  The
         repository's folder must be there for every executor."""
