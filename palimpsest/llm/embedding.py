@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 from .graph import components
 
 #: Filters a vector has about on average, filters it has at least, blocks of a code,
@@ -87,19 +87,17 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """Rows that may link: vec_id, label, vec (doubles as bytes), dim and key."""
+    """All rows: vec_id, label, vec (doubles as bytes; null: links with nothing) and dim."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for i, label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if label is None or not v or None in v:
-                    continue
-                x = np.array(v, "<f8")
-                if np.isfinite(x).all() and x.any():
-                    for column, value in zip(out, (i, label, (x + 0.0).tobytes(), len(v))):
-                        column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32())], ["vec_id", "label", "vec", "dim"])
+            vecs, dims = [], []
+            for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x = np.zeros(0) if label is None or not v or None in v else np.array(v, "<f8")
+                ok = x.any() and np.isfinite(x).all()
+                vecs.append((x + 0.0).tobytes() if ok else None)
+                dims.append(len(x) if ok else None)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(vecs, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "label", "vec", "dim"])
 
     return vectors.mapInArrow(run, "vec_id long, label string, vec binary, dim int")
 
@@ -183,7 +181,7 @@ def compare_sorted(cosine: float):
                 look |= set(small[_linked_groups(x, place[start[small]], place[end[small] - 1] + 1, cosine)].tolist())
             for g in sorted(look):
                 a, b = int(start[g]), int(end[g])
-                out.append(compare(ids[a:b], weight[a:b], side[a:b], x[place[a] : place[a] + b - a], [np.frombuffer(f, "<i8") for f in filters[a:b]], int(least[a]), cosine))
+                out.append(compare(ids[a:b], weight[a:b], side[a:b], x[place[a] : place[a] + b - a], [np.frombuffer(f, "<i4") for f in filters[a:b]], int(least[a]), cosine))
         return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "links", "root"])
 
     def run(batches):
@@ -209,8 +207,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     valid = _valid(rows).withColumn("key", F.md5(F.concat(F.col("vec"), F.encode(F.col("label"), "UTF-8"))))
     members = written(valid.select("vec_id", "key", "label", "dim", "vec"), "vectors")
-    nodes = members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
-    nodes = written(nodes.withColumn("id", F.xxhash64("key")), "vector-nodes")
+    nodes = members.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    # ids are given when the nodes are written, so no two nodes can share one
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "vector-nodes")
     sizes = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def decode(batches):
@@ -227,7 +226,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
                     order = np.lexsort((code, owner))
                     code = code[order].astype("<i8")
                     bounds = np.searchsorted(owner[order], np.arange(len(part) + 1))
-                    lists = [code[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+                    lists = [code[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:])]  # 128 ** 4 directions at most
                     arrays = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code))
                     yield pa.record_batch([*part.columns, pa.array(lists, pa.binary()), arrays], [*batch.schema.names, "filters", "each"])
 
@@ -242,14 +241,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     keys = ["place", "dim", "filter", "pair"]
     found = written(heavy.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare_sorted(cosine), "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    names = nodes.select("id", "key", "rep", "n")
-    joined = components(found.select("id", "root"), "id", "root")
-    least = names.join(joined, "id").groupBy("component").agg(F.min("rep").alias("least"))
-    group = names.join(links, "id", "left").join(joined, "id", "left").join(least, "component", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
-    linked = members.select("vec_id", "key").join(group, "key").select("vec_id", "n_links", "component_id")
-    # rows that can't link are those that aren't members
-    alone = rows.select("vec_id").exceptAll(members.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    # only linked nodes have a component; the rest are their own
+    linked = written(links.join(components(found.select("id", "root"), "id", "root"), "id").join(nodes.select("id", "rep"), "id"), "linked-vectors")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size"))
+    named = spread_join(linked.select("id", "links", "component"), least, "component", "size", linked.count()).select("id", "links", "least", F.lit(True).alias("linked"))
+    facts = nodes.select("id", "key", "n", "rep").join(named.hint("merge"), "id", "left").select("key", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
+    facts = written(facts, "vector-classes")
+    rows = members.select("vec_id", "key")
+    out = spread_join(rows, facts, "key", "n", members.count()).select("vec_id", "n_links", "component_id")
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op3_embedding_dedup(vectors: DataFrame) -> DataFrame:
