@@ -1,9 +1,10 @@
 """Secrets in text: pattern matches, and candidates confirmed by their structure.
 
 Base kinds are plain patterns.  Further kinds are reported only once a candidate
-decodes: base64 or hex that is a private key in DER with lengths that nest
-exactly, an OpenSSH key of length-prefixed fields, or a signed token whose header
-is JSON that names an algorithm.
+decodes: base64 (also wrapped over lines, with or without marks around it) or hex
+that is a private key in DER with lengths that nest exactly, an OpenSSH key of
+length-prefixed fields, a marked block whose header names a cipher and its vector, or
+a signed token whose header is JSON that names an algorithm.
 
 Null texts are empty (no spans); positions are code points, ends exclusive; texts
 are scanned whole; an empty table gives no rows; other columns are ignored.
@@ -29,11 +30,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]{31,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]*)={0,2}")
+# "{" and a blank, a line feed or a quote begin with these
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+_PEM_LINE = re.compile(r"[A-Za-z][A-Za-z0-9-]*: *[^\n]*\n")
+_CIPHER = re.compile(r"DEK-Info: *[A-Z0-9-]+,(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]{19,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]*)(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
 _UPPER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 _OPENSSH = b"openssh-key-v1\0"
+_HEX_OPENSSH = re.compile(r"(?<![0-9A-Fa-f])" + _OPENSSH.hex() + r"[0-9a-f]+", re.IGNORECASE | re.ASCII)
 
 
 def _from_base64(text: str) -> bytes | None:
@@ -89,23 +94,36 @@ def is_private_der(data: bytes) -> bool:
 
 def is_openssh(data: bytes) -> bool:
     """Whether the bytes are an OpenSSH private key whose fields fit."""
+    return openssh_size(data) > 0
+
+
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key that data begins with; 0 if it is none."""
     if not data.startswith(_OPENSSH):
-        return False
+        return 0
     at = len(_OPENSSH)
     for _ in range(3):  # cipher, key derivation and its options
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     if at + 4 > len(data):
-        return False
+        return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
-        return False
+        return 0
     for _ in range(keys + 1):  # public keys, then the private part
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at <= len(data)
+    return at if at <= len(data) else 0
+
+
+def der_size(data: bytes) -> int:
+    """Bytes of the DER item that data begins with, as its header says."""
+    if len(data) < 6 or not data[1] & 0x80:
+        return 2 + data[1] if len(data) > 1 else 0
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if 1 <= width <= 4 else 0
 
 
 def is_token_header(part: str) -> bool:
@@ -128,28 +146,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _is_marked_key(kind: str, body: str) -> bool:
+    """Whether what stands between the marks of a private key is one."""
+    body = body.replace("\\r", "").replace("\\n", "\n").replace("\r", "")
+    plain = _PEM_LINE.sub("", body)
+    raw = _from_base64(re.sub(r"\s", "", plain))
+    if not raw:
+        return False
+    if is_private_der(raw) or is_openssh(raw):
+        return True
+    if "ENCRYPTED" in kind:
+        return der_items(raw, 0, len(raw)) is not None
+    return plain != body and _CIPHER.search(body) is not None and len(raw) % 8 == 0
+
+
+def _wrapped(m: re.Match) -> list[tuple[int, int, int]]:
+    """The key that a stretch of base64, over one line or more, begins with."""
+    lines, at, letters, places = m[0].rstrip("=").split("\n"), m.start(), [], []
+    for line in lines:
+        bare = line.rstrip("\r")
+        letters.append(bare)
+        places.append((at, len(bare)))
+        at += len(line) + 1
+    joined = "".join(letters)
+    raw = _from_base64(joined[: len(joined) // 4 * 4 if len(joined) % 4 == 1 else None])
+    if raw is None:
+        return []
+    ssh = raw.startswith(_OPENSSH)
+    size = openssh_size(raw) if ssh else der_size(raw)
+    if not 16 <= size <= len(raw) or not (ssh or is_private_der(raw[:size])):
+        return []
+    # as many characters as those bytes take, and the padding behind them
+    need = -(-size * 4 // 3)
+    for begin, n in places:
+        if need <= n:
+            end = begin + need
+            break
+        need -= n
+    text = m.string
+    while end < len(text) and text[end] == "=" and end - begin < n + 2:
+        end += 1
+    return [(m.start(), 6 if ssh else 5, end)]
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose structure holds."""
     out = []
-    if "eyJ" in text:
+    if "." in text:
         out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_token_header(m[1])]
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            raw = _from_base64(re.sub(r"\\n|\s", "", m[2]))
-            if raw is not None and (is_private_der(raw) or is_openssh(raw) or "ENCRYPTED" in m[1] and der_items(raw, 0, len(raw))):
-                out.append((m.start(), 4, m.end()))
+        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _is_marked_key(m[1], m[2])]
     for m in _BASE64.finditer(text):
-        raw = _from_base64(m[0])
-        if raw is None:
-            continue
-        if is_openssh(raw):
-            out.append((m.start(), 6, m.end()))
-        elif is_private_der(raw):
-            out.append((m.start(), 5, m.end()))
+        out += _wrapped(m)
     if "30" in text:
         for m in _UPPER_HEX.finditer(text):
             if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
                 out.append((m.start(), 5, m.end()))
+    if "70656" in text:  # digits alone, so either case has them
+        for m in _HEX_OPENSSH.finditer(text):
+            if len(m[0]) % 2 == 0 and is_openssh(bytes.fromhex(m[0])):
+                out.append((m.start(), 6, m.end()))
     return sorted(out)
 
 
