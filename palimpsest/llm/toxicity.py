@@ -26,8 +26,8 @@ from .common import id_and_text, map_arrow, slices, text_bytes
 from .language import held_out, labelled_sample
 from .words import KIND, LOW, MARK, WORD, Tokens, hash_word, per_doc, tokens
 
-#: The most labelled rows learned from, and the most lexicon entries kept.
-FIT_ROWS, LEXICON = 24_000, 20_000
+#: The most labelled rows learned from; their words bound the lexicon.
+FIT_ROWS = 24_000
 #: How much oftener toxic rows hold an entry, and the weight of a strong one.
 RATIO, STRONG = 6.0, 4.0
 #: Bytes of word beginnings that may be lexicon entries, besides whole words.
@@ -108,6 +108,9 @@ def features(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarr
     same = np.zeros(len(raw), bool)
     if len(raw) > 2:
         same[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (KIND[raw[2:]] == WORD)
+        for k in (0, 1):  # a text's first two bytes repeat nothing of the text before
+            at = offsets[:-1] + k
+            same[at[at < offsets[1:]]] = False
     columns = [
         np.log1p(n), per_doc(either, t.bounds), per_doc(either, t.bounds) / n, per_doc(weight, t.bounds), heaviest, distinct,
         per_doc(begin_hit, t.bounds), per_doc(begin_hit, t.bounds) / n, per_doc(weight > STRONG, t.bounds), per_doc(weight > STRONG, t.bounds) / n, per_doc(near, t.bounds), per_doc(you, t.bounds) / n,
@@ -267,14 +270,14 @@ def learn_lexicons(rows: DataFrame) -> tuple[list[Lexicon], np.ndarray]:
         return toxic, (toxic + 0.5) / (clean + 0.5) * float(size[0] / max(1, size[1])), float(max(3, size[1] // 250))
 
     found = rows.select("fold", "label", "text").mapInArrow(run, "key long, kind int, " + ", ".join(f"{n} long" for n in names)).groupBy("key", "kind").agg(*(F.sum(n).alias(n) for n in names))
-    passes, weight = F.lit(False), F.lit(0.0)
+    passes = F.lit(False)
     for folds, size in choices:
         toxic, ratio, least = figures(folds, size, {n: F.col(n) for n in names})
         passes = passes | ((toxic >= least) & (ratio > RATIO))
-        weight = F.log(ratio) * F.sqrt(toxic)
-    top = found.where(passes).withColumn("weight", weight).orderBy(F.desc("weight"), "key").limit(LEXICON).collect()
-    key, kind = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.kind for r in top], np.int64)
-    counts = {n: np.array([r[n] for r in top], float) for n in names}
+    # no more of these than the sample's words: each stands in toxic rows of it, several times as often as in others
+    top = found.where(passes).toArrow()
+    key, kind = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("kind").to_numpy().astype(np.int64)
+    counts = {n: top.column(n).to_numpy().astype(float) for n in names}
     out = []
     for folds, size in choices:
         toxic, ratio, least = figures(folds, size, counts)
