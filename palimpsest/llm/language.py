@@ -43,7 +43,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     docs = len(offsets) - 1
     low = _FOLD[raw]
     total = np.zeros((docs, BUCKETS), np.float32)
-    if len(raw) > 2:
+    if len(raw) > 1:
         two = low[:-1] << 8 | low[1:]
         owner = np.repeat(np.arange(docs, dtype=np.int64), np.diff(offsets)) * BUCKETS
         three = two[:-1] << 8 | low[2:]

@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language, quality, toxicity
+from palimpsest.llm import language, quality, toxicity, words
 from palimpsest.llm.common import text_bytes
 from palimpsest.llm.words import hash_word, tokens
 
@@ -90,6 +92,112 @@ def test_toxicity_edges(odd_docs, no_docs, tables):
     assert {r.score for r in toxicity.op7_toxicity(odd_docs, tables[1].limit(0)).collect()} == {0.0}
 
 
+def plain_hash(raw, table=words.LOW):
+    h, p = 0, 1
+    for b in raw:
+        h, p = (h + int(words._VALUE[table[b]]) * p) & M64, p * words._BASE & M64
+    return plain_mix(h)
+
+
+MARKS = rb"!-/:-@\[-`{-~"
+
+
+def plain_toxic_features(text, lexicon, begins):
+    """The features of one text, token by token."""
+    raw = text.encode()
+    low = bytes(b + 32 if 65 <= b < 91 else b for b in raw)
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[" + MARKS + rb"]+", raw)]
+    kinds = [bool(re.match(rb"[0-9A-Za-z\x80-\xff]", raw[a:b])) for a, b in found]
+    you = {plain_hash(w.encode()) for w in toxicity._YOU}
+    n = max(1, sum(kinds))
+    weights, eithers, begun, hashes, yours = [], [], [], [], []
+    for (a, b), word in zip(found, kinds):
+        h = plain_hash(raw[a:b])
+        weight, begin = lexicon.get(h, 0) if word else 0, False
+        for k in toxicity.PREFIXES:
+            key = plain_hash(raw[a : a + k]) ^ (k * 0x9E3779B97F4A7C15 & M64)
+            if word and b - a > k and key in begins:
+                begin, weight = True, max(weight, begins[key])
+        weights.append(weight)
+        begun.append(begin)
+        eithers.append(word and h in lexicon or begin)
+        hashes.append(h)
+        yours.append(word and h in you)
+    near = sum(e and any(yours[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, e in enumerate(eithers))
+    leet = bytes(toxicity._LEET[b] for b in raw)
+    disguise = disguised = 0
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff@$!*]+", raw):
+        odd = re.search(rb"[0-9" + MARKS + rb"]", m.group())
+        disguise += bool(odd)
+        disguised += bool(odd) and plain_hash(raw[m.start() : m.end()], toxicity._LEET) in lexicon
+    assert len(leet) == len(low) == len(raw)
+    upper, size = sum(65 <= b < 91 for b in raw), max(1, len(raw))
+    letters = max(1, upper + sum(97 <= b < 123 or b >= 128 for b in raw))
+    shouting = sum(w and b - a > 2 and all(65 <= c < 91 for c in raw[a:b]) for (a, b), w in zip(found, kinds))
+    same = sum(raw[i] == raw[i - 1] == raw[i - 2] and bool(re.match(rb"[0-9A-Za-z\x80-\xff]", raw[i : i + 1])) for i in range(2, len(raw)))
+    share = lambda test: sum(map(test, raw)) / size
+    strong = sum(w > toxicity.STRONG for w in weights)
+    return [
+        math.log1p(n), sum(eithers), sum(eithers) / n, sum(weights), max([w for w, e in zip(weights, eithers) if e], default=0), len({h for h, e in zip(hashes, eithers) if e}),
+        sum(begun), sum(begun) / n, strong, strong / n, near, sum(yours) / n,
+        disguised, upper / letters, shouting / n, len(re.findall(rb"[" + MARKS + rb"]", raw)) / size,
+        share(lambda b: b == 33), share(lambda b: b == 63), share(lambda b: 48 <= b < 58), disguise / n, same / size, share(lambda b: b >= 128), letters / n,
+    ]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["idiot", "Idiots ", "1d10t", "tr@sh", "TRASH", " you ", "du", " ", "nice", "aaa", "a", "!!", "?", "é", "sch", "schwachkopf", "\n", "42", "-", "u"]), max_size=25).map("".join), max_size=5))
+def test_toxicity_features_by_brute_force(texts):
+    lexicon = {hash_word(w): x for w, x in (("idiot", 3.0), ("trash", 5.0), ("schwach", 1.0))}
+    begins = {plain_hash(w) ^ (len(w) * 0x9E3779B97F4A7C15 & M64): x for w, x in ((b"idio", 2.0), (b"schwa", 4.5))}
+    made = toxicity.Lexicon(*(part for table in (lexicon, begins) for part in (np.array(sorted(table), np.uint64), np.array([table[k] for k in sorted(table)]))))
+    got = toxicity.features(*text_bytes(pa.array(texts, pa.string())), made)
+    want = np.array([plain_toxic_features(t, lexicon, begins) for t in texts], np.float32).reshape(-1, len(toxicity.NAMES))
+    assert got.shape == want.shape
+    for k, name in enumerate(toxicity.NAMES):
+        assert np.allclose(got[:, k], want[:, k], atol=1e-6), (name, got[:, k], want[:, k])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abC 1.é\n-z"), max_size=12), max_size=6))
+def test_language_features_by_brute_force(texts):
+    got = language.features(*text_bytes(pa.array(texts, pa.string())))
+    for row, text in zip(got, texts):
+        raw = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or chr(b).isalpha() else 32 for b in text.encode())
+        total = np.zeros(language.BUCKETS)
+        for size, seed in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for i in range(len(raw) - size + 1):
+                if raw[i : i + size].strip():
+                    total[(int.from_bytes(raw[i : i + size], "big") * seed & 0xFFFFFFFF) >> 20] += 1
+        total = np.sqrt(total)
+        assert np.allclose(row, total / max(1e-9, math.sqrt((total**2).sum())), atol=1e-6)
+
+
+def test_language_vote_by_brute_force():
+    rng = np.random.default_rng(5)
+    families = {"x": ["a", "b", "c"], "y": ["d"], "z": ["e", "f"]}
+    between = {p: rng.standard_normal(5) for names in (sorted(families), *families.values()) for i, a in enumerate(names) for p in [(a, b) for b in names[i + 1 :]]}
+    model = language.Model(families, between)
+    x = rng.standard_normal((300, 4))
+    langs, scores = model.predict(x)
+
+    def winner(row, names):
+        margins = {a: [] for a in names}
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                m = float(row @ between[a, b][:-1] + between[a, b][-1])
+                margins[a].append(m)
+                margins[b].append(-m)
+        won = {a: sum(m > 0 for m in margins[a]) + 1e-3 * sum(map(math.tanh, margins[a])) for a in names}
+        best = max(names, key=lambda a: won[a])
+        return best, 1 / (1 + math.exp(-4 * min(margins[best]))) if margins[best] else 1.0
+
+    for row, lang, score in zip(x, langs, scores):
+        family, sure = winner(row, sorted(families))
+        best, more = winner(row, families[family])
+        assert lang == best and abs(score - sure * more) < 1e-9
+
+
 def test_isotonic_by_brute_force():
     rng = random.Random(3)
     for _ in range(20):
