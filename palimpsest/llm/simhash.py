@@ -12,8 +12,8 @@ masks cover the radius: two codes within it agree under one of them, whatever bi
 they differ in, so no link is lost at any size.  Few nodes make one shard.  Inside
 a shard, ``search="scan"`` compares all codes, in blocks;
 ``search="graph"`` searches a navigable small world with beams that grow until an
-audit against exact search is passed, and scans the shard if none passes (see
-README for why scanning is the default).  A crowded shard is cut into blocks
+audit against exact search is passed (RECALL of the links, so some may be lost), and
+scans the shard if none passes (see README for why scanning is the default).  A crowded shard is cut into blocks
 whose pairs are separate groups.  Groups give counts and the edges of a spanning
 forest, never their pairs.
 
@@ -46,6 +46,8 @@ BITS, RADIUS, SHARD = 256, 46, 4096
 SENT, COMPARED, ALIKE = 5e-6, 2e-9, 0.53
 #: Crowded shards whose list is broadcast at most (24 bytes each).
 LISTED = 100_000
+#: Share of the links of audited nodes that ``search="graph"`` must find in a shard.
+RECALL = 0.9
 _WORDS = BITS // 64
 _SEEDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -131,6 +133,7 @@ class SmallWorld:
         n = len(points)
         rng = np.random.default_rng(seed)
         self.edges = np.full((n, 2 * degree), -1, np.int32)
+        self.length = np.full((n, 2 * degree), 9999, np.uint16)  # of each edge; no edge is longest
         self.far = rng.integers(0, max(1, n), (n, 2)).astype(np.int32)
         self.entries = rng.permutation(n)[:16]
         first = min(n, 128)
@@ -158,10 +161,12 @@ class SmallWorld:
         for x, y in ((a[ok], b[ok]), (b[ok], a[ok])):
             x, first = np.unique(x, return_index=True)
             y = y[first]
-            free = (self.edges[x] < 0).argmax(1)
-            full = (self.edges[x] >= 0).all(1)
-            slot = np.where(full, (x * 7 + y) % self.edges.shape[1], free)
-            self.edges[x, slot] = y
+            new = (self.edges[x] != y[:, None]).all(1)
+            x, y = x[new], y[new]
+            d = np.bitwise_count(self.points[x] ^ self.points[y]).sum(1, dtype=np.uint16)
+            slot = self.length[x].argmax(1)  # a free place, or the farthest neighbour's
+            use = d < self.length[x, slot]
+            self.edges[x[use], slot[use]], self.length[x[use], slot[use]] = y[use], d[use]
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest nodes found for each query, and their distances."""
@@ -236,18 +241,24 @@ def scan_pairs(x: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def graph_pairs(x: np.ndarray, side: np.ndarray, radius: int, least: float = 0.995, audit: int = 64, beams: tuple[int, ...] = (32, 64, 128, 256)) -> tuple[np.ndarray, np.ndarray]:
-    """The same by searching a small world.  Beams grow until some queries, checked
-    against exact search, find ``least`` of their pairs and no beam of theirs is
-    full of hits; if none does, all codes are scanned."""
+    """The same by searching a small world.  Beams grow until queries that do have
+    links, ``audit`` of them, find ``least`` of these (their own rows don't count) and
+    no beam is full of hits; if none does, or too few links are seen to tell, all
+    codes are scanned."""
     if len(x) <= max(beams):
         return scan_pairs(x, side, radius)
-    world = SmallWorld(x)
-    probe = np.unique(np.linspace(0, len(x) - 1, audit).astype(int))
+    probe = np.random.default_rng(2).permutation(len(x))[: 16 * audit]
     exact = distances(x[probe], x) <= radius
+    exact[np.arange(len(probe)), probe] = False
+    linked = np.flatnonzero(exact.any(1))[:audit]
+    probe, links = probe[linked], int(exact[linked].sum())
+    if links < audit // 4:
+        return scan_pairs(x, side, radius)
+    world = SmallWorld(x)
     for beam in beams:
         ids, dist = world.search(x[probe], beam)
-        hit = dist <= radius
-        if hit.sum() >= least * exact.sum() and not hit.all(1).any():
+        hit = (dist <= radius) & (ids != probe[:, None])
+        if hit.sum() >= least * links and not (dist <= radius).all(1).any():
             ids, dist = world.search(x, beam)
             row, k = np.nonzero((dist <= radius) & (ids >= 0))
             a, b = np.minimum(row, ids[row, k]), np.maximum(row, ids[row, k])
@@ -277,7 +288,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _search(masks: np.ndarray, radius: int, search: str):
     """Shards of a sorted partition, one at a time; a shard that a batch cuts is
     carried over."""
-    find = {"scan": _scan, "graph": lambda *shard: [graph_pairs(*shard)]}[search]
+    find = {"scan": _scan, "graph": lambda *shard: [graph_pairs(*shard, RECALL)]}[search]
 
     def work(table: pa.Table) -> pa.RecordBatch:
         ids, weight, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))

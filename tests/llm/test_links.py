@@ -224,6 +224,23 @@ def test_small_world_finds_clusters():
     assert 2 * len(a) + 800 >= 0.995 * exact
 
 
+def test_small_world_of_whole_texts(monkeypatch):
+    """Over 4,096 codes of real texts: the graph is searched, and finds its share."""
+    import pyarrow.parquet as pq
+
+    from palimpsest.llm.common import slices
+
+    text = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    made = [simhash.codes(*text_bytes(text.slice(a, b - a))) for a, b in slices(text)]
+    x = np.unique(np.concatenate([c[s] for c, s in made]), axis=0)[:6000]
+    x = x[np.random.default_rng(0).permutation(len(x))]
+    none = np.zeros(len(x), int)
+    want = set(zip(*(c.tolist() for c in simhash.scan_pairs(x, none, simhash.RADIUS))))
+    monkeypatch.setattr(simhash, "scan_pairs", lambda *a: pytest.fail("no graph was searched"))
+    got = set(zip(*(c.tolist() for c in simhash.graph_pairs(x, none, simhash.RADIUS, simhash.RECALL))))
+    assert len(want) > 100 and got <= {(min(p), max(p)) for p in want} and len(got) >= 0.85 * len(want)
+
+
 def test_codes_of_odd_texts():
     code, some = simhash.codes(*text_bytes(pa.array(["!!! ???", "??? !!!", "a b", "A, b!", None, "", " \n", "x"])))
     assert some.tolist() == [True] * 4 + [False] * 3 + [True]
