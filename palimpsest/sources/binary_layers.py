@@ -108,9 +108,36 @@ def read_layer(data: bytes) -> tuple[int, str, str | None, list[tuple[int, int,
     return version, commit, parent, rows
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Every file of a folder: path, commit, parent, version (null: unreadable), bytes and
+    error (null: none), as ``gc_plan`` takes them.  A file of another version has its
+    version alone; one that can't be read is named by its path.  Empty files aren't
+    seen, since Spark's file source leaves them out."""
+    names = ["path", "commit", "parent", "version", "bytes", "error"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = data.as_py()
+                try:
+                    version, commit, parent, _ = read_layer(data)
+                    rows.append((name, commit, parent, version, size, None))
+                except (ValueError, struct.error) as e:
+                    known = data[0] if data and data[0] != VERSION else None
+                    rows.append((name, name.rsplit("/", 1)[-1], None, known, size, str(e)))
+            columns = list(zip(*rows)) if rows else [[] for _ in names]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    return files.mapInArrow(run, "path string, commit string, parent string, version int, bytes long, error string")
+
+
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of all readable layer files of a folder: commit, parent, pos,
-    chunk_index, byte_offset, chunk_len, code as 64-bit words (null: unfilled)."""
+    chunk_index, byte_offset, chunk_len, code as 64-bit words (null: unfilled).  What
+    can't be read has no chunks here; ``read_headers`` says which files those are."""
     names = ["commit", "parent", "pos", "chunk_index", "byte_offset", "chunk_len", "code"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 

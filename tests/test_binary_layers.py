@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.functions import codes
+from palimpsest.operators.layers import gc_plan
 from palimpsest.sources import binary_layers as layers
 
 
@@ -40,4 +41,10 @@ def test_folder(spark, tmp_path):
     (tmp_path / "old").write_bytes(b"\1" * 200)
     rows = layers.read_layers(spark, str(tmp_path)).orderBy("chunk_index").withColumn("filled", codes.filled(codes.F.col("code"))).collect()
     assert [(r.commit, r.parent, r.pos, r.byte_offset, r.chunk_len, r.filled) for r in rows] == [("a", None, 3, 0, 9, True), ("a", None, 3, 9, 1, False)]
+    (tmp_path / "cut").write_bytes(layers.write_layer("c", "a", [(3, [(9, b"\1" * 256)])])[:-1])
+    (tmp_path / "none").write_bytes(b"")
+    heads = {r.path.rsplit("/", 1)[-1]: r for r in layers.read_headers(spark, str(tmp_path)).collect()}
+    assert {k: (r.commit, r.version, r.error is None) for k, r in heads.items()} == {"a": ("a", 2, True), "old": ("old", 1, False), "cut": ("cut", None, False)}
+    plan = gc_plan(layers.read_headers(spark, str(tmp_path)), spark.createDataFrame([("a",)], "commit string"))
+    assert {(r.commit, r.reason) for r in plan.collect()} == {("old", "obsolete_version"), ("cut", "unreadable")}
     assert rows[0].code[0] == -(2**63) and len(rows[0].code) == 32
