@@ -30,8 +30,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-# "{" and a blank, a line feed or a quote begin with these
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# how "{" begins in base64 before a quote or any white space that JSON allows
+_HEADS = ("eyI", "eyJ", "eyA", "ewo", "ew0", "ewk")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e(?:y[AIJ]|w[0ko])[A-Za-z0-9_-]{5,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
 _PEM_LINE = re.compile(r"[A-Za-z][A-Za-z0-9-]*: *[^\n]*\n")
 _CIPHER = re.compile(r"DEK-Info: *[A-Z0-9-]+,(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s")
@@ -192,7 +193,7 @@ def _wrapped(m: re.Match) -> list[tuple[int, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose structure holds."""
     out = []
-    if "." in text:
+    if any(head in text for head in _HEADS):
         out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_token_header(m[1])]
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _is_marked_key(m[1], m[2])]

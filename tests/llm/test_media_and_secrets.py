@@ -233,6 +233,12 @@ def test_exactly_the_planted_structures_are_confirmed(parts):
     assert [g for g in got if g[0] == "pem" or not any(a < g[1] and g[2] < b for a, b in outer)] == want
 
 
+@pytest.mark.parametrize("blank", ["", " ", "  ", "\t", "\n", "\r\n", "\r"])
+def test_token_headers_after_any_white_space(blank):
+    body = signed(('{' + blank + '"alg":"HS256"}').encode())
+    assert secrets.confirmed_spans("x " + body) == [(2, 3, 2 + len(body))]
+
+
 def test_a_key_ends_where_its_lengths_say():
     text = "x " + b64(PKCS8, 40) + "\nmore\nwords"
     assert secrets.confirmed_spans(text) == [(2, 5, text.index("\nmore"))]
