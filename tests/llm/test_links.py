@@ -288,3 +288,71 @@ def test_no_link_at_the_radius_is_lost(spark, monkeypatch, sent, masks):
     assert near[np.arange(1000), np.arange(1000, 2000)].all() and not near[np.arange(200), np.arange(2000, 2200)].any()
     root = groups(len(code), zip(*np.nonzero(near)))
     assert got == {k: (int(near[k].sum()) - 1, root[k]) for k in range(len(code))}
+
+
+def near_codes(seed, n):
+    """Codes with copies within the radius of each other, and a crowd of close ones."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2**63, (n, 4), np.uint64)
+    y = x[: n // 4] ^ np.packbits(rng.random((n // 4, 256)).argsort(1) < rng.integers(1, 50, n // 4)[:, None], axis=1).view(np.uint64).reshape(-1, 4)
+    z = x[:1] ^ np.packbits(rng.random((n // 20, 256)) < 0.08, axis=1).view(np.uint64).reshape(-1, 4)
+    return rng.permutation(np.concatenate([x, y, z]))
+
+
+@pytest.mark.parametrize("parts,radius", [(24, 46), (16, 46), (12, 46), (10, 46), (8, 46), (7, 46), (12, 5), (7, 0)])
+def test_pairs_of_masks_are_all_pairs_once(monkeypatch, parts, radius):
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    x = near_codes(parts, 2000)
+    masks = simhash.cover_parts(parts, radius)
+    for side in (np.zeros(len(x), int), np.random.default_rng(1).integers(1, 3, len(x))):
+        want = sorted((min(p), max(p)) for p in zip(*(c.tolist() for c in simhash.scan_pairs(x, side, radius))))
+        got = [(min(p), max(p)) for share in range(3) for a, b in simhash.block_pairs(x, side, masks, radius, share, 3, 500) for p in zip(a.tolist(), b.tolist())]
+        assert sorted(got) == want and (radius < 46 or len(want) > 1000)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_at_the_radius_meet_under_each_cover(seed):
+    rng = np.random.default_rng(seed)
+    for parts in (24, 16, 12, 10, 8, 7):
+        for radius in (46, 45, 40):
+            # as even over the parts as it can be, the worst case, and at random
+            spread = np.concatenate([rng.permutation(bits)[: radius // parts + 1] for bits in np.array_split(np.arange(256), parts)])
+            unlike = np.zeros((2000, 256), bool)
+            for row in unlike[:1000]:
+                row[rng.permutation(spread)[:radius]] = True
+            unlike[1000:] = rng.random((1000, 256)).argsort(1) < radius
+            unlike = np.packbits(unlike, axis=1).view(np.uint64).reshape(-1, 4)
+            met = np.zeros(len(unlike), bool)
+            for m in simhash.cover(parts, radius):
+                met |= ((unlike & m) == 0).all(1)
+            assert met.all()
+
+
+@pytest.mark.parametrize("sort,tasks", [(1e-12, 20_000), (1e-12, 5), (1.0, 20_000)])
+def test_links_of_many_blocks(spark, monkeypatch, sort, tasks):
+    """Many blocks, with masks and without, several tasks to a partition; against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 700)
+    monkeypatch.setattr(simhash, "SHARD", 200)
+    monkeypatch.setattr(simhash, "SORTED", sort)
+    monkeypatch.setattr(simhash, "TASKS", tasks)
+    code = near_codes(3, 2000)
+    assert (len(simhash.block_masks(code, 700)) > 1) == (sort < 1)
+    table = spark.createDataFrame([(k, c.tobytes()) for k, c in enumerate(code)], "doc_id long, code binary")
+    monkeypatch.setattr(simhash, "code_table", lambda docs: table)
+    got = {r.doc_id: (r.n_links, r.class_id) for r in simhash.near_duplicates(table).collect()}
+    near = simhash.distances(code, code) <= simhash.RADIUS
+    root = groups(len(code), zip(*np.nonzero(near)))
+    assert got == {k: (int(near[k].sum()) - 1, root[k]) for k in range(len(code))}
+
+
+def test_masks_compare_few_pairs_of_large_tables():
+    """At 6 GB a scan of all pairs, or a copy of each node for each mask, ran out of time."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, (100_000, 4), np.uint64)
+    for nodes in (250_000, 2_800_000):
+        masks = simhash.block_masks(x[:20_000], min(nodes, simhash.BLOCK))
+        pairs = [(c * (c - 1.0)).sum() for m in np.concatenate(masks) for c in [np.bincount(simhash._buckets(x.T, m), minlength=1 << 16)]]
+        assert sum(pairs) < 0.04 * len(x) ** 2
+    # codes of which a third lie close together meet under most masks: these don't pay
+    x[:30_000] = x[:1] ^ np.packbits(rng.random((30_000, 256)) < 0.02, axis=1).view(np.uint64).reshape(-1, 4)
+    assert len(simhash.block_masks(x[::5], simhash.BLOCK)) == 1
