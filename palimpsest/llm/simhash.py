@@ -84,7 +84,13 @@ def codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if len(full):
             each = mix(mix(h[a:b])[:, None] ^ _SEEDS)
             bits = np.unpackbits(each.view(np.uint8).reshape(-1, BITS // 8), axis=1)
-            sums[full] = np.add.reduceat(bits, bounds[full] - a, axis=0, dtype=np.int32)
+            # eight bits to a word, each a byte of it, which holds the sum of 255 rows
+            first, n = bounds[full] - a, np.diff(bounds)[full]
+            runs = -(-n // 255)
+            begin = np.cumsum(runs) - runs
+            run = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(begin, runs))
+            some = np.add.reduceat(bits.view(np.uint64), run, axis=0).view(np.uint8)
+            sums[full] = np.add.reduceat(some, begin, axis=0, dtype=np.int32)
         at = end
     size = np.diff(bounds)
     signs = np.packbits(2 * sums > size[:, None], axis=1)
