@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections import deque
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.virtual_repo import VERSION
-from ..storage import scratch
+from ..storage import stored
 
 
-#: Rows of history that the driver walks in memory; longer ones are walked by joins.
+#: Rows of history that the driver walks in memory; longer ones are walked by a task.
 DRIVER_ROWS = 1_000_000
 
 
@@ -21,35 +25,74 @@ def ancestors(history: DataFrame, start: str) -> DataFrame:
 
     Each commit is met once, however many ways lead to it, so merges and circles do
     no harm and depth has no limit.  History is metadata and small next to what it
-    describes: up to DRIVER_ROWS rows are walked on the driver.  Beyond, each step is
-    a join with what the step before found, written to the shared folder.  A null
-    parent is a root; an unknown start gives no rows.
+    describes: up to DRIVER_ROWS rows are walked on the driver.  Beyond, commits are
+    numbered by joins, and one task walks the numbers: the steps of a walk depend on
+    each other, and it needs about 30 bytes a row.  A null parent is a root; an unknown
+    start gives no rows.
     """
-    spark, edges = history.sparkSession, history.select("commit", "parent")
-    rows = edges.limit(DRIVER_ROWS + 1).toArrow()
-    if len(rows) <= DRIVER_ROWS:
-        parents: dict[str, list[str]] = {}
-        for commit, parent in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            parents.setdefault(commit, []).append(parent)
-        depth = {start: 0} if start in parents else {}
-        queue = deque(depth)
-        while queue:
-            commit = queue.popleft()
-            for parent in parents[commit]:
-                if parent in parents and parent not in depth:
-                    depth[parent] = depth[commit] + 1
-                    queue.append(parent)
-        return spark.createDataFrame(list(depth.items()), "commit string, depth long")
-    path, known, step = scratch(spark, "ancestors"), edges.select("commit").distinct(), 0
-    frontier = known.where(F.col("commit") == F.lit(start))
-    while True:
-        frontier.write.parquet(f"{path}/depth={step}")
-        found = spark.read.schema("commit string, depth long").parquet(path)
-        last = found.where(F.col("depth") == step).select("commit")
-        if not last.limit(1).count():
-            return found
-        frontier = edges.join(last, "commit").select(F.col("parent").alias("commit")).distinct().join(known, "commit", "left_semi").join(found, "commit", "left_anti")
-        step += 1
+    edges = history.select("commit", "parent").where("commit is not null")
+    return _walked_on_driver(edges, start) if edges.count() <= DRIVER_ROWS else _walked_in_a_task(edges, start)
+
+
+def _walked_on_driver(edges: DataFrame, start: str) -> DataFrame:
+    rows = edges.toArrow()
+    names = pc.unique(rows.column("commit"))
+    known = rows.filter(pc.is_in(rows.column("parent"), names))
+    child, parent = (pc.index_in(known.column(c), names).to_numpy().astype(np.int64) for c in ("commit", "parent"))
+    at = pc.index_in(pa.scalar(start, names.type), names).as_py()
+    met, depth = _walk(child << 32 | parent, len(names), at) if at is not None else (np.empty(0, np.int32),) * 2
+    return edges.sparkSession.createDataFrame(pa.table({"commit": names.take(pa.array(met)), "depth": pa.array(depth, pa.int64())}), "commit string, depth long")
+
+
+def _walked_in_a_task(edges: DataFrame, start: str) -> DataFrame:
+    spark, edges = edges.sparkSession, stored(edges, "history")
+    # a number is the place in its part, after the commits of the parts before
+    placed = stored(edges.select("commit").distinct().select("commit", F.monotonically_increasing_id().alias("place")), "commits")
+    part, before, total = F.shiftright("place", 33), [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["count"]
+    shifts = F.broadcast(spark.createDataFrame(before, "part long, shift long"))
+    numbers = placed.withColumn("part", part).join(shifts, "part").select("commit", (F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("shift")).alias("k"))
+    first = numbers.where(F.col("commit") == F.lit(start)).head()
+    above = numbers.select(F.col("commit").alias("parent"), F.col("k").alias("above"))
+    links = stored(edges.join(numbers, "commit").join(above, "parent").select(F.shiftleft("k", 32).bitwiseOR(F.col("above")).alias("link")), "links")
+    many, at = links.count(), first.k if first else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, end = np.empty(many, np.int64), 0
+        for batch in batches:
+            held[end : end + len(batch)] = batch.column(0).to_numpy()
+            end += len(batch)
+        met, depth = _walk(held, total, at)
+        for k in range(0, len(met), 1 << 16):
+            yield pa.record_batch([pa.array(x[k : k + (1 << 16)], pa.int64()) for x in (met, depth)], ["k", "depth"])
+
+    if at is None or not many:
+        return spark.createDataFrame([] if at is None else [(start, 0)], "commit string, depth long")
+    walked = stored(links.coalesce(1).mapInArrow(run, "k long, depth long"), "walked")
+    return numbers.join(walked, "k").select("commit", "depth")
+
+
+def _walk(links: np.ndarray, total: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a commit and its ancestors, the nearest first, and the fewest steps to
+    each.  Of ``total`` commits; a link is the number of one and below it, in the lower
+    32 bits, that of a parent.  Links are sorted in place."""
+    links.sort()
+    begins = memoryview(np.searchsorted(links, np.arange(total + 1, dtype=np.int64) << 32))
+    parents = memoryview(links.astype(np.int32))  # the lower bits
+    depths = np.full(total, -1, np.int32)
+    depth, met, at = memoryview(depths), array("i", [start]), 0
+    depth[start] = 0
+    while at < len(met):
+        commit = met[at]
+        at += 1
+        for k in range(begins[commit], begins[commit + 1]):
+            if depth[parents[k]] < 0:
+                depth[parents[k]] = depth[commit] + 1
+                met.append(parents[k])
+    found = np.frombuffer(met, np.int32)
+    return found, depths[found]
 
 
 def chain_start(commits: DataFrame, indexed: DataFrame, start: str, strict: bool = False) -> DataFrame:

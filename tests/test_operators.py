@@ -299,6 +299,24 @@ def test_ancestors_of_any_depth_and_shape(spark, monkeypatch, shape):
         assert dict(layers.ancestors(small, start).collect()) == history(near)(start)
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+def test_long_histories_take_as_many_jobs_as_short_ones(spark, monkeypatch, shape):
+    monkeypatch.setattr(layers, "DRIVER_ROWS", 0)
+    # a deep history is cut short, so that a walk that takes a job for each step ends too
+    rows = [(c, p) for c, p in SHAPES[shape] if int(c[5:]) < 60] + [(None, names(1)), (names(3), None)]
+    start = max((c for c, _ in rows if c), key=lambda c: int(c[5:]))
+    table = spark.createDataFrame(rows, "commit string, parent string")
+    spark.sparkContext.setJobGroup(f"walk-{shape}", "")
+    try:
+        found = dict(layers.ancestors(table, start).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == history([(c, p) for c, p in rows if c])(start)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk-{shape}")) < 40
+    root = spark.createDataFrame([("a", None), ("b", None)], "commit string, parent string")
+    assert [tuple(r) for r in layers.ancestors(root, "a").collect()] == [("a", 0)] and layers.ancestors(root, "c").count() == 0
+
+
 def test_boundary_scores():
     assert chunking.blank_lines(b" \n\t\r\nx\n\n") == 3 and chunking.blank_lines(b"") == 0
     gap = lambda s: chunking.boundary_score(b"a;" + s + b"b;", 2, 2 + len(s))
