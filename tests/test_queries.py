@@ -44,3 +44,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["chain_start", "delta_parent", "chain_walk"])
+def test_walks_by_a_task_match_sql(name, spark, duck, monkeypatch):
+    from palimpsest.operators import layers
+
+    monkeypatch.setattr(layers, "DRIVER_ROWS", 0)
+    spark.sparkContext.setJobGroup(f"query-{name}", "")
+    try:
+        mine = catalog.QUERIES[name](spark, SF)
+        got = sorted(tuple(r) for r in mine.collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    theirs = duck.sql(catalog.ORACLE_SQL[name])
+    assert mine.columns == theirs.columns and got == sorted(theirs.fetchall())
+    # not one for each step: the walks take 24 steps and more
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"query-{name}")) < 50
