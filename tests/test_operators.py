@@ -81,6 +81,28 @@ def test_search_blocks_takes_any_number_of_queries(spark):
     assert key(search.search_blocks(few, codes, 3, 30)) == key(search.search_table(few, codes, 3))
 
 
+@pytest.mark.parametrize("width", [1, 3])
+def test_search_table_is_exact_with_ties_and_never_sorts_all_pairs(spark, monkeypatch, width):
+    rng = random.Random(width)
+    monkeypatch.setattr(search, "TILE", 3000)
+    # few set bits, so that most distances tie; ids in no order, one code unfilled
+    code = lambda: [rng.getrandbits(64) & rng.getrandbits(64) & 0xFFF0000000000000 | 1 for _ in range(width)]
+    signed = lambda c: [w - (w >> 63 << 64) for w in c]
+    rows = [(f"v{rng.random()}", code()) for _ in range(2500)]
+    asked = [(q, code()) for q in range(40)] + [(40, None)]
+    vectors = spark.createDataFrame([(v, signed(c)) for v, c in rows] + [("u", [0] * width), ("w", None)], "vec_id string, code array<long>").repartition(3)
+    queries = spark.createDataFrame([(q, c and signed(c)) for q, c in asked], "query_id long, query array<long>")
+    want = []
+    for q, c in asked:
+        near = sorted((sum((x ^ y).bit_count() for x, y in zip(c, v)) if c else 0, name) for name, v in rows)[:7]
+        want += [(q, name, d if c else None, k + 1) for k, (d, name) in enumerate(near)]
+    for found in (search.search_table(queries, vectors, 7), search.search_blocks(queries, vectors, 7, 20)):
+        assert sorted(map(tuple, found.select("query_id", "vec_id", "dist", "rank").collect()), key=lambda r: (r[0], r[3])) == want
+        assert "NestedLoopJoin" not in plan(found) and "CartesianProduct" not in plan(found)
+    assert search.search_table(queries, vectors.limit(0), 7).count() == 0 and search.search_table(queries.limit(0), vectors, 7).count() == 0
+    assert search.search_table(queries, vectors, 9999).count() == 41 * 2500
+
+
 # -- paths
 
 
